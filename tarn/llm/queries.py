@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import quality
+from tarn.llm import jaccard, quality
 from tarn.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lang", "source", "n_chars", "log_weight")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_quality": op10_quality}
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with similar sets of word trigrams, as lists of ids."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard": op3_jaccard,
+    "op10_quality": op10_quality,
+}
 
 SQL: dict[str, str] = {}
