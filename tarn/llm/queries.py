@@ -6,24 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import jaccard, quality
+from tarn.llm import bpe, jaccard, lm, quality
 from tarn.llm.common import table
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives back its text."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws, with their log weight."""
     kept = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "lang", "source", "n_chars", "log_weight")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document, with texts labelled good and not toxic as the target."""
+    return lm.score(table(spark, sf_dir, "documents"), lm.target_of(table(spark, sf_dir, "labels")))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with similar sets of word trigrams, as lists of ids."""
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
     "op3_jaccard": op3_jaccard,
+    "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_lm_score": lm.SQL}

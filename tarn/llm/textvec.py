@@ -93,6 +93,19 @@ def tokens(column: pa.Array, by: str = "word") -> Tokens:
     return Tokens(hashed, np.searchsorted(start, off), start, end, kind[start], raw)
 
 
+def hash_rows(column: pa.Array) -> np.ndarray:
+    """Hash of each whole value of a string or binary column."""
+    raw, off = flat_binary(column)
+    size = np.diff(off)
+    out = np.zeros(len(size), dtype=np.uint64)
+    if len(raw):
+        place = np.arange(len(raw), dtype=np.int64) - np.repeat(off[:-1], size)
+        part = (raw.astype(np.uint64) + np.uint64(1)) * _power_table(int(size.max()))[place]
+        some = size > 0
+        out[some] = np.add.reduceat(part, off[:-1][some])
+    return mix(out ^ size.astype(np.uint64) * _STEP)
+
+
 def ngrams(hashed: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of n tokens within a row, and each one's first token. Runs never cross rows."""
     count = len(hashed) - n + 1
