@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, jaccard, lm, quality
-from tarn.llm.common import table
+from tarn.llm import bpe, jaccard, lm, mixing, quality, shards
+from tarn.llm.common import scratch_path, table
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources weigh the square root of their tokens."""
+    return mixing.select(table(spark, sf_dir, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lang", "source", "n_chars", "log_weight")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as read back from a store that took them in arrivals and compacted after each."""
+    return shards.checked(shards.ingest(table(spark, sf_dir, "documents"), scratch_path(spark, "store")).read())
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document, with texts labelled good and not toxic as the target."""
     return lm.score(table(spark, sf_dir, "documents"), lm.target_of(table(spark, sf_dir, "labels")))
@@ -32,10 +42,12 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_lm_score": op2_lm_score,
     "op3_jaccard": op3_jaccard,
+    "op4_mixing": op4_mixing,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op2_lm_score": lm.SQL}
+SQL: dict[str, str] = {"op1_sharding": shards.SQL, "op2_lm_score": lm.SQL, "op4_mixing": mixing.SQL}
