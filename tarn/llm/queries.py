@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, jaccard, lm, mixing, quality, shards
+from tarn.llm import bpe, ego, jaccard, lm, mixing, quality, repeats, shards, topk
 from tarn.llm.common import scratch_path, table
 
 
@@ -41,13 +41,31 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors whose cosine is 0.9 or more."""
+    return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of words that stand in more than one document; ``first`` marks the copies that stay."""
+    return repeats.spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "stop", "first")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_lm_score": op2_lm_score,
     "op3_jaccard": op3_jaccard,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_bpe": op8_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op1_sharding": shards.SQL, "op2_lm_score": lm.SQL, "op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_sharding": shards.SQL, "op2_lm_score": lm.SQL, "op4_mixing": mixing.SQL, "op5_topk": topk.SQL, "op6_embedding_dedup": ego.SQL}
