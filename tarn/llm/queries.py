@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, ego, jaccard, lm, mixing, quality, repeats, shards, topk
+from tarn.llm import bpe, ego, jaccard, lm, mixing, quality, repeats, shards, topk, urls
 from tarn.llm.common import scratch_path, table
 
 
@@ -51,6 +51,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template, its purity and the verdict for every page."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return urls.judge(pages, urls.page_labels(pages, labels))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of words that stand in more than one document; ``first`` marks the copies that stay."""
     return repeats.spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "stop", "first")
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
