@@ -20,7 +20,7 @@ from tarn.llm import common
 
 #: Share of a node's URLs that a literal needs; levels of the tree (the rest of a path is one segment); z below which branches
 #: are alike; weight of the parent's purity in labels; purity that a template needs.
-SHARE, DEPTH, ALIKE, SMOOTHING, LEAST = 1 / 16, 8, 1.96, 8.0, 0.5
+SHARE, DEPTH, ALIKE, SMOOTHING, LEAST = 1 / 16, 8, 1.96, 8.0, 0.4
 #: Words of a host's name by which its pages are labelled bad.
 BAD_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
 _KIND = r"\.(html?|php|aspx?|jsp|xml|json|pdf|txt|md)$"
