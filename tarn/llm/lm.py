@@ -256,7 +256,7 @@ def target_of(labels: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH target AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0),
+WITH target AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(coalesce(toxic, 0)) = 0),
 texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AS w, (doc_id IN (SELECT doc_id FROM target))::INT AS good FROM documents),
 long AS (SELECT doc_id, good, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM texts),
 words AS (SELECT w, count(*) AS n, sum(good) AS t FROM long GROUP BY w),
@@ -277,6 +277,6 @@ p AS (
     CASE WHEN c.t > 0 THEN 0.5::DOUBLE * b.t / c.t ELSE 0 END + CASE WHEN c.t > 0 THEN 0.5::DOUBLE ELSE 1 END * (u.t + 0.1::DOUBLE) / (tot.t + 0.1::DOUBLE * tot.v) AS pt
   FROM bi b JOIN uni c ON c.w = b.v JOIN uni u ON u.w = b.w, tot),
 scored AS (SELECT doc_id, avg(-ln(pt)) AS lt, avg(-ln(pb)) AS lb FROM events JOIN p USING (v, w) GROUP BY doc_id)
-SELECT t.doc_id, len(t.w) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score
+SELECT t.doc_id, coalesce(len(t.w), 0) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score
 FROM texts t LEFT JOIN scored s USING (doc_id)
 """

@@ -221,7 +221,7 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_words: in
     runs = texts.mapInArrow(_runs(least, gram), _RUNS)
     owner, copies = Window.partitionBy("key"), Window.partitionBy("key", "cls")
     cand = (
-        runs.withColumn("at", F.row_number().over(copies.orderBy("doc_id", "start", "th")))
+        runs.withColumn("at", F.rank().over(copies.orderBy("doc_id", "start", "th")))  # repeated rows are one copy
         .withColumn("last", F.max("doc_id").over(copies))
         .withColumn("lo", F.min("doc_id").over(owner))
         .withColumn("hi", F.max("doc_id").over(owner))
@@ -272,12 +272,11 @@ def remove(docs: DataFrame, **parameters) -> DataFrame:
             out.append(cut_words(whole, [s["start"] for s in spans_], [s["stop"] for s in spans_]) if spans_ else whole)
         return pa.array(out, pa.string())
 
-    names = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_hash"), "_cuts")
-    both = keyed.join(cuts, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
-    left = F.when(F.col("_cuts").isNotNull(), cut(F.col("text"), F.col("_cuts"))).otherwise(F.col("text"))
-    done = both.withColumn("text", left).where(F.col("_cuts").isNull() | F.col("text").rlike(r"[0-9A-Za-z_\x{80}-\x{10FFFF}]"))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_hash"), "_cuts")
+    both = rows.join(cuts, (F.col("id") == F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left")
+    old, was_cut = F.col("row").getField("text"), F.col("_cuts").isNotNull()
+    done = both.withColumn("left", F.when(was_cut, cut(old, F.col("_cuts"))).otherwise(old)).where(~was_cut | F.col("left").rlike(r"[0-9A-Za-z_\x{80}-\x{10FFFF}]"))
+    counted = F.when(was_cut, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
+    changed = {"text": F.col("left"), "n_chars": counted}
+    return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

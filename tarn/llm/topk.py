@@ -97,6 +97,9 @@ def search(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: st
         return spark.createDataFrame([], schema)
     rows = rows.distinct()
     blocks = common.staged(packed(rows, size, BLOCK), "vectors")
+    # where an id has several vectors, that many times k rows hold k ids
+    most = rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    deep = k * most
     others = blocks.select(F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +114,8 @@ def search(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: st
     while True:
         pairs = blocks.join(state.select("block", "low"), "block").crossJoin(others)
         found = pairs.mapInArrow(_histograms(size, width), "block long, h binary")
-        state = common.staged(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_narrow(k, width), state_schema), "state")
-        if width == 1 or state.agg(F.max("most")).first()[0] <= k + SLACK:
+        state = common.staged(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_narrow(deep, width), state_schema), "state")
+        if width == 1 or state.agg(F.max("most")).first()[0] <= deep + SLACK:
             break
         width = -(-width // BINS)
     kept = blocks.join(state.select("block", "low"), "block").crossJoin(others).mapInArrow(_final(size), "query_id long, neighbor_id long, millionths int")
