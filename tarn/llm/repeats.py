@@ -133,15 +133,16 @@ def repeats_in(words: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.n
     ``words`` holds the runs one after another; a run's first copy is in document ``low`` at ``start``, its copies' largest
     id is ``high``. ``kept``: the run's first copy is the one that stays.
     """
-    ids = np.unique(words, return_inverse=True)[1] + 1
+    ids = (np.unique(words, return_inverse=True)[1] + 1).astype(np.int32)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     text = scratch.array(int(sizes.sum() + len(sizes)), np.int32)
     gaps = np.zeros(len(text), dtype=bool)
     gaps[begin + sizes] = True
     text[gaps] = 0
     text[~gaps] = ids
+    del ids
     sa, lcp = suffix_array(text, scratch)
-    run_of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    run_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     window = np.arange(len(text)) - begin[run_of] + least <= sizes[run_of]
     # windows in the order of suffixes; between two of them the shared length is the least on the way
     at = np.flatnonzero(window[sa])
@@ -150,6 +151,7 @@ def repeats_in(words: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.n
     if len(at) > 1:
         shared[1:] = np.minimum.reduceat(lcp, at[:-1] + 1)
         shared[-1] = lcp[at[-2] + 1 : at[-1] + 1].min()
+    del sa, lcp, window, at
     group = np.cumsum(shared < least) - 1
     run = run_of[place]
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)

@@ -6,7 +6,8 @@ one that follows it in the text, a scan in falling order each rising one. Betwee
 where suffixes belong they wait in a disk-backed priority queue, ordered by first symbol and arrival, which carries with each
 suffix the length of the prefix that it shares with the one before it: one more than the least shared length that the scan
 has passed since it last sent a suffix to that symbol. Scans work on whole queue blocks at a time, and large names are
-written as two symbols, so that there are few blocks. Arrays beyond ``memory`` bytes live in files under ``folder``.
+written as two symbols, so that there are few blocks. Arrays beyond ``memory`` bytes live in files under ``folder``. Recursion
+ends where the string of names is short enough for a sort by doubled prefixes in memory.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import numpy as np
 
 #: Names above this many are written as two symbols.
 ONE_SYMBOL = 256
+#: A string of names of this length at most is sorted in memory.
+IN_MEMORY = 1 << 20
 _FAN = 12
 _FAR = np.int32(2**31 - 1)
 
@@ -26,8 +29,8 @@ _FAR = np.int32(2**31 - 1)
 class Scratch:
     """Arrays in memory up to ``memory`` bytes each, beyond that in files under ``folder`` (None: always in memory)."""
 
-    def __init__(self, folder: str | None = None, memory: int = 64 << 20):
-        self.folder, self.memory, self.files = folder, memory, []
+    def __init__(self, folder: str | None = None, memory: int = 64 << 20, in_memory: int = IN_MEMORY):
+        self.folder, self.memory, self.in_memory, self.files = folder, memory, in_memory, []
 
     def array(self, n: int, dtype) -> np.ndarray:
         dtype = np.dtype(dtype)
@@ -252,8 +255,10 @@ def _rising(text: np.ndarray) -> np.ndarray:
     up = np.ones(n, dtype=bool)
     differs = np.flatnonzero(text[:-1] != text[1:])
     if len(differs):
-        nearest = differs[np.minimum(np.searchsorted(differs, np.arange(n - 1)), len(differs) - 1)]
-        up[:-1] = text[nearest] < text[nearest + 1]
+        changes = text[:-1] != text[1:]
+        upto = np.cumsum(changes, dtype=np.int32 if n < 2**31 else np.int64)
+        upto -= changes
+        up[:-1] = (text[differs] < text[differs + 1])[upto]  # the sentinel differs from all, so every place has a next change
     return up
 
 
@@ -279,12 +284,13 @@ def _sort(text: np.ndarray, symbols: int, scratch: Scratch) -> tuple[np.ndarray,
             same[live[ends & other]] = True
             live = live[~(ends | other)]
         d += 1
-    names = np.zeros(n, dtype=np.int64)
+    names = np.zeros(n, dtype=np.int32 if n < 2**31 else np.int64)
     names[ranked] = np.concatenate(([0], np.cumsum(~same)))
     names = names[seeds]
+    del rough, up, is_seed, a, b, live, ranked
     ends = np.append(seeds, n)
     if len(same) and same.any():
-        order, agree = suffix_array(names, scratch)
+        order, agree = _doubled(names) if len(names) <= scratch.in_memory else suffix_array(names, scratch)
         first, second = order[:-1], order[1:]
         q = agree[1:]
         known = ends[np.minimum(first + q, len(seeds))] - ends[first]
@@ -295,13 +301,41 @@ def _sort(text: np.ndarray, symbols: int, scratch: Scratch) -> tuple[np.ndarray,
     return _induce(text, symbols, seeds[order], seed_lcp.astype(np.int32), scratch)
 
 
+def _doubled(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_array`` in memory: ranks by ever longer prefixes; shared lengths from the ranks, longest prefix first."""
+    n = len(names)
+    ranks, length = [np.unique(names, return_inverse=True)[1].astype(np.int64) + 1], 1
+    while True:
+        second = np.zeros(n, dtype=np.int64)
+        second[: n - length] = ranks[-1][length:]
+        key = ranks[-1].astype(np.int64) * (n + 1) + second
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        new = np.concatenate(([1], (ranked[1:] != ranked[:-1]).astype(np.int64)))
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(new)
+        if new.all():
+            break
+        ranks.append(rank.astype(np.int32) if n < 2**31 else rank)
+        length *= 2
+    a, b = order[:-1], order[1:]
+    agree = np.zeros(max(0, n - 1), dtype=np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        i, j = a + agree, b + agree
+        ok = np.maximum(i, j) < n
+        same = np.zeros(len(agree), dtype=bool)
+        same[ok] = ranks[level][i[ok]] == ranks[level][j[ok]]
+        agree[same] += 1 << level
+    return order, np.concatenate(([0], agree))
+
+
 def suffix_array(names: np.ndarray, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of a sequence of non-negative numbers, and the length that each shares with the one before.
 
     An empty sequence gives empty arrays. The end of the sequence is less than any number.
     """
     scratch = scratch or Scratch()
-    names = np.asarray(names, dtype=np.int64)
+    names = np.asarray(names)
     if not len(names):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kinds = int(names.max()) + 1
