@@ -10,7 +10,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import embedding as E
@@ -101,17 +101,12 @@ def first_chunk_index(documents: DataFrame) -> DataFrame:
     for row in sizes:
         offsets.append((row["_part"], total))
         total += row["n"]
-    before = F.sum("chunk_count").over(_within().rowsBetween(-(1 << 31), -1))
+    line = Window.partitionBy("_part").orderBy("relative_path", "doc_id")
+    before = F.sum("chunk_count").over(line.rowsBetween(Window.unboundedPreceding, -1))
     base = spark.createDataFrame(offsets, "_part int, _base long")
     return held.join(F.broadcast(base), "_part").withColumn("first_chunk_index", F.col("_base") + F.coalesce(before, F.lit(0))).drop("_part", "_base")
 
 
-def _within():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_part").orderBy("relative_path", "doc_id")
-
-
 class IndexFolder:
     """Versions of an index under a folder; ``CURRENT.json`` names the one that readers open, and is replaced whole."""
 
