@@ -10,6 +10,7 @@ source's blocks are then drawn by seeded hash until its quota is full.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,13 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
     return won
 
 
+def _share_out(of_source: pd.DataFrame) -> pd.DataFrame:
+    """Blocks that each shard of a source gives: a row a shard, however many blocks there are."""
+    rows = of_source.sort_values("shard")
+    n = rows.n.to_numpy(np.int64)
+    return rows[["source", "shard"]].assign(take=sainte_lague(n.astype(float), int(rows.quota.iloc[0]), n))
+
+
 def select(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -84,11 +92,8 @@ def select(
     own = parties.tokens.to_numpy(float) ** temperature if weights is None else np.array([weights.get(s, 0.0) for s in parties.source], float)
     seats = sainte_lague(own, int(np.ceil(share * parties.n.sum())), parties.n.to_numpy(np.int64))
     quotas = spark.createDataFrame(list(zip(parties.source.tolist(), seats.tolist())), "source string, quota long")
-    # a row for each block: the quotients of a source's shards, highest first, up to its quota
-    quotients = cells.select("source", "shard", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).withColumn("q", F.col("n") / (2 * F.col("k") + 1))
-    best = Window.partitionBy("source").orderBy(F.desc("q"), "shard")
-    dealt = quotients.withColumn("at", F.row_number().over(best)).join(F.broadcast(quotas), "source").where("at <= quota")
-    per_shard = dealt.groupBy("source", "shard").agg(F.count("*").alias("take"))
+    asked = cells.join(F.broadcast(quotas), "source").select("source", "shard", "n", "quota")
+    per_shard = asked.groupBy("source").applyInPandas(_share_out, "source string, shard long, take long").where("take > 0")
     draw = Window.partitionBy("source", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "source", "shard", "block").cast("binary")), "block")
     drawn = blocks.join(per_shard, ["source", "shard"]).withColumn("at", F.row_number().over(draw)).where("at <= take").select("source", "shard", "block")
     return cut.join(drawn, ["source", "shard", "block"]).select("doc_id", "source", "shard", "block", "n_tokens")
