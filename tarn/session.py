@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker; the usual limits let one of long texts be four times as large.
+ARROW_BYTES = 16 << 20
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -29,7 +31,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors once per application, so that Python workers can import it anywhere."""
+    """Send this package's source to the executors once per application, so that Python workers can import it anywhere.
+
+    Arrow batches of the session are kept to ARROW_BYTES, so that workers need as much memory for long texts as for short.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name).rstrip("b")
+    if not usual.isdigit() or int(usual) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
