@@ -153,8 +153,8 @@ def encode(docs: DataFrame, id_column: str = "doc_id", vocabulary: str = VOCABUL
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     missing = -(1 << 63)
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(missing)).alias("row_id"), "text")
-    wire = texts.mapInArrow(_explode(4 * partitions), WIRE).repartition(partitions, "key")
-    coded = wire.mapInArrow(_encode(ranks), WIRE).repartition(partitions, "key")
+    wire = texts.mapInArrow(common.trimmed(_explode(4 * partitions)), WIRE).repartition(partitions, "key")
+    coded = wire.mapInArrow(common.trimmed(_encode(ranks)), WIRE).repartition(partitions, "key")
     found = wire.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_reassemble, "row_id long, tokens array<int>, check long")
     done = found.withColumn("now", _text_check(spark, ranks)(F.col("tokens")))
     return done.select(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +111,24 @@ def kth_largest(df: DataFrame, score: str, k: int, bins: int = 4096) -> float |
     return lo
 
 
+def trim() -> None:
+    """Give memory that this process no longer uses back to the system; Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over a partition, with ``trim`` after it."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``budget`` bytes in each (one row at least)."""
     for batch in batches:

@@ -223,7 +223,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(missing)).alias("row_id"), F.lower("text").alias("text"))
     texts = common.join_small(texts, common.staged(marks, "target"), "row_id", "left")
 
-    counted = texts.mapInArrow(_words(buckets), WIRE).repartition(partitions, "key").sortWithinPartitions("key")
+    counted = texts.mapInArrow(common.trimmed(_words(buckets)), WIRE).repartition(partitions, "key").sortWithinPartitions("key")
     words = common.staged(counted.mapInArrow(_sum_words, "word long, n long, n_target long"), "words")
     total = words.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
     least = max(LEAST, math.ceil((total.n or 0) * SHARE))
@@ -237,7 +237,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         known[name] = np.concatenate([[ends, (whole or 0) - inside.sum()], inside])
     vocabulary = spark.sparkContext.broadcast(known)  # at most 1 / SHARE words
 
-    wire = texts.mapInArrow(_bigrams(vocabulary, buckets), WIRE).repartition(partitions, "key")
+    wire = texts.mapInArrow(common.trimmed(_bigrams(vocabulary, buckets)), WIRE).repartition(partitions, "key")
     sums = wire.sortWithinPartitions("key").mapInArrow(_sum_bigrams, WIRE).repartition(partitions, "key")
     scored = wire.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(vocabulary, buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
     return scored.select(

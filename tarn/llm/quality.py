@@ -90,7 +90,7 @@ def fit(docs: DataFrame, sample: DataFrame, smoothing: float = SMOOTHING) -> np.
     good = sample.where("fits AND quality = 1 AND toxic = 0").select(F.col("doc_id"), F.lit(True).alias("good"))
     # at most MAX_LABELS rows by construction
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", "good")
-    parts = marked.mapInArrow(_count, "slice int, counts binary").repartition(BUCKETS // _SLICE, "slice").mapInArrow(_add, "slice int, counts binary").collect()
+    parts = marked.mapInArrow(common.trimmed(_count), "slice int, counts binary").repartition(BUCKETS // _SLICE, "slice").mapInArrow(_add, "slice int, counts binary").collect()
     counts = np.zeros((2, BUCKETS))
     for part in parts:
         counts[:, part["slice"] * _SLICE : (part["slice"] + 1) * _SLICE] = np.frombuffer(part["counts"], dtype="<i8").reshape(2, -1)

@@ -184,6 +184,7 @@ def _sorted(least: int, folder: str | None, memory: int):
                 yield pa.record_batch([pa.array(key[run]), pa.array(cls[run]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(kept)], names=["key", "cls", "a", "b", "kept"])
         finally:
             scratch.close()
+            common.trim()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, heads, words = None, [], []
@@ -220,7 +221,7 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_words: in
         raise ValueError("gram must be from 1 to least")
     spark = docs.sparkSession
     texts = texts_of(docs)
-    runs = texts.mapInArrow(_runs(least, gram), _RUNS)
+    runs = texts.mapInArrow(common.trimmed(_runs(least, gram)), _RUNS)
     owner, copies = Window.partitionBy("key"), Window.partitionBy("key", "cls")
     cand = (
         runs.withColumn("at", F.rank().over(copies.orderBy("doc_id", "start", "th")))  # repeated rows are one copy
@@ -235,8 +236,8 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_words: in
     shards = max(1, math.ceil(total / shard_words))
     leads = cand.where("at = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "cls", "start", "n", "last")).alias("runs"))
     full = texts.join(leads.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "text", "runs")
-    words = full.mapInArrow(_contents(shards), _WORDS).repartition(shards, "shard").sortWithinPartitions("shard")
-    ranges = common.staged(words.mapInArrow(_sorted(least, scratch_folder(spark), memory), _RANGES), "ranges")
+    words = full.mapInArrow(common.trimmed(_contents(shards)), _WORDS).repartition(shards, "shard").sortWithinPartitions("shard")
+    ranges = common.staged(words.mapInArrow(common.trimmed(_sorted(least, scratch_folder(spark), memory)), _RANGES), "ranges")
     found = cand.join(ranges, ["key", "cls"]).select(
         "doc_id", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + (least - 1)).alias("stop"), (F.col("kept") & (F.col("at") == 1)).alias("first")
     )
