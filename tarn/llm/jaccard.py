@@ -5,7 +5,7 @@ each set picks every (coordinate, value) with probability ``growth / (threshold
 sets at the threshold are expected to share ``growth`` of their picks. A pick is a child node. Since picks depend on the set and
 the node alone, a task finds all its sets' paths without seeing other sets; one shuffle brings each first-level node's
 sets together, where the node is split by the further picks until a bucket is small or the last level is reached, and
-every pair of a bucket is compared by size and one-bit sketches. Runs repeat until a pair at the threshold is missed with
+every pair of a bucket is compared by size and by the last four bits of their minhash values. Runs repeat until a pair at the threshold is missed with
 no more than ``1 - recall``. Survivors are compared exactly on their full n-gram sets, by text, once for each pair.
 """
 
@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from tarn.llm import common, textvec
 from tarn.llm.graph import components
 
-N, THRESHOLD, RECALL = 3, 0.7, 0.99
+N, THRESHOLD, RECALL = 3, 0.5, 0.99
 #: Minhash coordinates; levels of a path; picks that sets at the threshold share in expectation; bucket size not split further.
 COORDINATES, LEVELS, GROWTH, SMALL = 64, 3, 1.2, 24
 #: Documents of a group that one task compares with each other at a time; larger groups are cut into squares of this side.
 SIDE = 1000
 
 _KEYS = textvec.mix(np.arange(1, 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_NIBBLES = np.uint64(0x1111_1111_1111_1111)
 
 
 def runs_needed(recall: float = RECALL, growth: float = GROWTH, levels: int = LEVELS) -> int:
@@ -68,9 +69,9 @@ def _paths(n: int, threshold: float, runs: int, levels: int):
             size, ids = size[some], ids[some]
             low = minhashes(sets, np.append(rows[some], len(sets)))
             whole = np.add.reduceat(textvec.mix(sets ^ _KEYS[70]), rows[some]) ^ textvec.mix(size.astype(np.uint64))
-            sketch = np.zeros(len(some), dtype=np.uint64)
+            sketch = np.zeros((len(some), COORDINATES // 16), dtype=np.uint64)
             for i in range(COORDINATES):
-                sketch |= (textvec.mix(low[:, i].astype(np.uint64) + _KEYS[100 + i]) & np.uint64(1)) << np.uint64(i)
+                sketch[:, i // 16] |= (textvec.mix(low[:, i].astype(np.uint64) + _KEYS[100 + i]) & np.uint64(15)) << np.uint64(4 * (i % 16))
             tokens = textvec.mix(low.astype(np.uint64) ^ _KEYS[None, 200 : 200 + COORDINATES])
             for run in range(runs):
                 root = np.full(len(some), _KEYS[300 + run], dtype=np.uint64)
@@ -90,24 +91,29 @@ def _paths(n: int, threshold: float, runs: int, levels: int):
                     more = pa.array([b""] * len(first), pa.binary())
                 if len(first):
                     yield pa.record_batch(
-                        [pa.array(first.view(np.int64)), pa.array(ids[doc]), pa.array(whole[doc].view(np.int64)), pa.array(size[doc].astype(np.int64)), pa.array(sketch[doc].view(np.int64)), more],
+                        [pa.array(first.view(np.int64)), pa.array(ids[doc]), pa.array(whole[doc].view(np.int64)), pa.array(size[doc].astype(np.int64)), common.binary_rows(sketch[doc].reshape(-1), np.full(len(doc), COORDINATES // 16)), more],
                         ["node", "doc_id", "whole", "size", "sketch", "more"],
                     )
 
     return emit
 
 
-_PATH_SCHEMA = "node long, doc_id long, whole long, size long, sketch long, more binary"
+_PATH_SCHEMA = "node long, doc_id long, whole long, size long, sketch binary, more binary"
 
 
 def _compare(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket that may reach the threshold, by size and by agreement of the one-bit sketches."""
-    agree = COORDINATES * (1 + threshold) / 2
-    least = agree - 3.5 * math.sqrt(COORDINATES * (1 - threshold**2) / 4)
+    """Pairs of a bucket that may reach the threshold, by size and by minhash values whose last four bits agree."""
+    share = threshold + (1 - threshold) / 16
+    least = COORDINATES * share - 3.5 * math.sqrt(COORDINATES * share * (1 - share))
     left, right = [], []
     step = max(1, 2_000_000 // len(ids))
     for a in range(0, len(ids), step):
-        same = COORDINATES - np.bitwise_count(sketch[a : a + step, None] ^ sketch[None, :])
+        same = np.full((len(ids[a : a + step]), len(ids)), COORDINATES, dtype=np.int32)
+        for word in sketch.T:
+            x = word[a : a + step, None] ^ word[None, :]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            same -= np.bitwise_count(x & _NIBBLES)
         near = np.minimum(size[a : a + step, None], size[None, :]) >= threshold * np.maximum(size[a : a + step, None], size[None, :]) - 1e-9
         i, j = np.nonzero((same >= least) & near)
         keep = i + a < j
@@ -147,7 +153,8 @@ def _split(threshold: float, levels: int):
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             node, ids = t["node"].to_numpy(), t["doc_id"].to_numpy()
-            whole, size, sketch = t["whole"].to_numpy(), t["size"].to_numpy(), t["sketch"].to_numpy().view(np.uint64)
+            whole, size = t["whole"].to_numpy(), t["size"].to_numpy()
+            sketch = common.flat_binary(t["sketch"].combine_chunks())[0].view("<u8").reshape(len(node), -1)
             # rows come sorted by node, set and id: the first of each set stands for all with the same set
             lead = np.ones(len(node), dtype=bool)
             lead[1:] = (node[1:] != node[:-1]) | (whole[1:] != whole[:-1])
@@ -191,8 +198,8 @@ def _split(threshold: float, levels: int):
 def candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
     """(a, b), a < b: pairs of documents with different sets that share a path in some run and may reach the threshold."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    rows = texts.mapInArrow(_paths(n, threshold, runs_needed(recall, GROWTH, levels), levels), _PATH_SCHEMA)
-    return rows.repartition("node").sortWithinPartitions("node", "whole", "doc_id").mapInArrow(_split(threshold, levels), "a long, b long").distinct()
+    rows = texts.mapInArrow(common.trimmed(_paths(n, threshold, runs_needed(recall, GROWTH, levels), levels)), _PATH_SCHEMA)
+    return rows.repartition("node").sortWithinPartitions("node", "whole", "doc_id").mapInArrow(common.trimmed(_split(threshold, levels)), "a long, b long").distinct()
 
 
 def identical(docs: DataFrame, n: int = N) -> DataFrame:
@@ -208,7 +215,7 @@ def identical(docs: DataFrame, n: int = N) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").take(pa.array(some)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "one", "two"])
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    groups = texts.mapInArrow(name, "doc_id long, one long, two long").groupBy("one", "two").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    groups = texts.mapInArrow(common.trimmed(name), "doc_id long, one long, two long").groupBy("one", "two").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
     return groups.where("size(doc_ids) > 1").select("doc_ids", F.lit(1.0).alias("jaccard"))
 
 

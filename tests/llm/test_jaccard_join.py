@@ -71,14 +71,15 @@ def test_a_large_group_needs_many_squares(spark, monkeypatch):
 def test_odd_documents(spark):
     docs = [(r[0], r[1]) for r in odd_rows() if r[0] != 0]
     df = odd(spark).where("doc_id IS NULL OR doc_id <> 0")
-    assert all_pairs(jaccard.join(df), docs) == pairs_by_hand(docs) == {(1, 20), (8, 9)}
+    assert all_pairs(jaccard.join(df), docs) == pairs_by_hand(docs) == {(1, 20), (8, 9), (10, 11), (11, 12)}
+    assert all_pairs(jaccard.join(df, threshold=0.7), docs) == pairs_by_hand(docs, 0.7) == {(1, 20), (8, 9)}
     found = {tuple(r.doc_ids) for r in jaccard.join(odd(spark)).collect()}
     assert any(set(g) >= {1, 20} for g in found)  # 0 has one text that equals 1's
 
 
 def test_deduplication_keeps_one_of_each_group(spark):
     df = odd(spark).where("doc_id IS NULL OR doc_id <> 0")
-    kept = jaccard.deduplicate(df)
+    kept = jaccard.deduplicate(df, threshold=0.7)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 8, 10, 11, 12, 13, 14, 15]
     assert kept.where("doc_id IS NULL").count() == 2
