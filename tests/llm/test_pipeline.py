@@ -87,7 +87,8 @@ def test_suffix_stage(spark, stages, whole):
         return {d for s in seen.values() if len(s) > 1 for d in s}
 
     assert (repeated(before) or not whole) and repeated(after) == set()
-    clean = {r.doc_id: r.text for r in before.collect() if r.doc_id not in repeated(before)}
+    touched = repeated(before)
+    clean = {r.doc_id: r.text for r in before.collect() if r.doc_id not in touched}
     assert {r.doc_id: r.text for r in after.collect() if r.doc_id in clean} == clean
 
 
