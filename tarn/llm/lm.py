@@ -1,19 +1,20 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, interpolated with smoothed unigrams, share one vocabulary: words that occur at least twice and at least
-once in a million words of the corpus; all others are one unknown word. The background model counts all documents, the
+Two bigram models, interpolated with smoothed unigrams, share one vocabulary: all words that occur at least
+twice, however large the corpus; all others are one unknown word. The background model counts all documents, the
 target model those labelled good and not toxic. A text is ``<s> w1 ... wn </s>``; its losses are the mean of -ln p over the
 n + 1 predicted tokens in either model, and its score is target loss less background loss: low for texts like the target.
 
     p(w | v) = L * c(v, w) / c(v) + (1 - L) * (c(w) + A) / (sum c + A * |V|),  with L = 0 where c(v) = 0
 
-Counts are exact over the whole corpus and never gathered in one place: each block of texts sends its distinct bigrams,
-packed by hash, to the partition that adds them up over all blocks, and gets the totals back in the same order.
+Counts are exact over the whole corpus and never gathered in one place: each block of texts sends its distinct words, and
+then its distinct bigrams, packed by hash, to the partition that adds them up over all blocks, and gets the totals back in the
+same order. Only sums over the vocabulary come to the driver. ``SQL`` still wants a word once in a million words as well: it
+gives the same rows up to two million words, and fewer words above.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tarn.llm.packing import BLOCKS_A_TASK, WIRE, WIRE_ARROW, pack, squeeze, unp
 
 #: Weight of the bigram and pseudo-count of each word.
 LAMBDA, ALPHA = 0.5, 0.1
-#: Least count, and least share of the corpus, of a word of the vocabulary. The share bounds it to 1 / SHARE words.
-LEAST, SHARE = 2, 1e-6
+#: Least count of a word of the vocabulary, and the share of the corpus that it needs besides: none.
+LEAST, SHARE = 2, 0.0
 BLOCK = 8_000_000
 
 
@@ -70,15 +71,26 @@ def _bucket_rows(block: int, codes: np.ndarray, every: np.ndarray, good: np.ndar
 
 
 def _words(buckets: int):
+    """Blocks of texts to rows of their own (key = block: ids, counts and places of words; distinct words and which texts are
+    good) and rows of distinct words for the buckets."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() * BLOCKS_A_TASK
         for block in common.slices(batches, "text", BLOCK):
-            parts = []
+            hashed, counts = [], []
             for batch in common.slices(iter([block]), "text"):
                 t = textvec.tokens(batch.column("text"))
-                parts.append(_tally(t.hash, np.asarray(batch.column("good").fill_null(False))[t.row_of()]))
-            codes, every, good = _merge(parts)
-            if len(codes):
-                yield pa.RecordBatch.from_pylist(_bucket_rows(0, codes, every, good, buckets), WIRE_ARROW)
+                hashed.append(t.hash)
+                counts.append(t.counts)
+            hashed, counts = np.concatenate(hashed), np.concatenate(counts)
+            good = np.asarray(block.column("good").fill_null(False))
+            own, place = np.unique(hashed, return_inverse=True)
+            every = np.bincount(place, minlength=len(own))
+            of_good = np.bincount(place[np.repeat(good, counts)], minlength=len(own))
+            ids = common.blob(np.asarray(block.column("row_id")))
+            rows = [wire_row(number, number, -1, ids, pack(counts), pack(place)), wire_row(number, number, -2, _codes_out(own), pack(good))]
+            yield pa.RecordBatch.from_pylist(rows + _bucket_rows(number, own, every, of_good, buckets), WIRE_ARROW)
+            number += 1
 
     return emit
 
@@ -115,44 +127,46 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _buckets_of(batches):
+    """Totals of each block's words, and the rank of each among the bucket's words of the vocabulary (from 1; 0: unknown).
+    A row of sums a bucket, with no block: words, their counts, and the counts of all words."""
+    for key, rows in _buckets_of(batches):
         codes, every, good = _merge([_opened(r) for r in rows])
-        yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(every), pa.array(good)], ["word", "n", "n_target"])
-
-
-def _bigrams(vocabulary, buckets: int):
-    """Blocks of texts to a row of word numbers (key = block) and rows of distinct bigrams for the buckets."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        number = TaskContext.get().partitionId() * BLOCKS_A_TASK
-        for block in common.slices(batches, "text", BLOCK):
-            words, counts = [], []
-            for batch in common.slices(iter([block]), "text"):
-                t = textvec.tokens(batch.column("text"))
-                words.append(_numbers(t.hash, known))
-                counts.append(t.counts)
-            words, counts = np.concatenate(words), np.concatenate(counts)
-            codes, at = _pairs(words, counts, len(known["n"]))
-            good = np.asarray(block.column("good").fill_null(False))[at]
-            ids = common.blob(np.asarray(block.column("row_id")))
-            rows = [wire_row(number, number, -1, ids, pack(counts), pack(words))]
-            yield pa.RecordBatch.from_pylist(rows + _bucket_rows(number, *_tally(codes, good), buckets), WIRE_ARROW)
-            number += 1
-
-    return emit
+        known = every >= LEAST
+        rank = np.where(known, np.cumsum(known), 0)
+        sums = [known.sum(), every[known].sum(), good[known].sum(), every.sum(), good.sum()]
+        yield pa.RecordBatch.from_pylist([wire_row(key, -1, -3, common.blob(np.array(sums, dtype=np.int64)))], WIRE_ARROW)
+        for r in rows:
+            at = np.searchsorted(codes, _codes_in(r["a"]))
+            yield pa.RecordBatch.from_pylist([wire_row(r["block"], r["block"], r["bucket"], pack(every[at]), pack(good[at]), pack(rank[at]))], WIRE_ARROW)
 
 
-def _numbers(hashed: np.ndarray, known: dict[str, np.ndarray]) -> np.ndarray:
-    """Number of each word: by falling count from 2; 1 is the unknown word, 0 stands for both ends of a text."""
-    at = np.searchsorted(known["hash"], hashed)
-    at[at == len(known["hash"])] = 0
-    if not len(known["hash"]):
-        return np.ones(len(hashed), dtype=np.int64)
-    return np.where(known["hash"][at] == hashed, known["number"][at], 1)
+def _bigrams(buckets: int):
+    """A block's rows and the totals of its words to rows of the block (ids, counts and places of words; numbers and totals of
+    its distinct words) and rows of distinct bigrams for the buckets.
 
+    A word's number is a function of its bucket and its rank there; 1 is the unknown word, 0 stands for both ends of a text.
+    """
 
-def _pairs(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def one(block: pa.Table, totals: pa.Table) -> pa.Table:
+        rows = {r["bucket"]: r for r in block.to_pylist()}
+        if not rows:
+            return WIRE_ARROW.empty_table()
+        text, own = rows[-1], _codes_in(rows[-2]["a"])
+        number, sums = np.ones(len(own), dtype=np.int64), np.zeros((2, len(own)), dtype=np.int64)
+        by, cuts = _by_bucket(own, buckets)
+        for k, a, b, c in zip(*[totals[name].to_pylist() for name in ("bucket", "a", "b", "c")]):
+            of, rank = by[cuts[k] : cuts[k + 1]], unpack(c).astype(np.int64)
+            sums[0, of], sums[1, of] = unpack(a), unpack(b)
+            number[of] = np.where(rank > 0, (rank - 1) * buckets + k + 2, 1)
+        codes, at = _pairs(number[unpack(text["c"])], unpack(text["b"]).astype(np.int64))
+        of_block = [wire_row(text["key"], text["block"], -1, text["a"], text["b"], text["c"]), wire_row(text["key"], text["block"], -2, pack(number), pack(sums[0]), pack(sums[1]))]
+        good = unpack(rows[-2]["b"]).astype(bool)[at]
+        return pa.Table.from_pylist(of_block + _bucket_rows(text["block"], *_tally(codes, good), buckets), WIRE_ARROW)
+
+    return one
+
+
+def _pairs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all bigrams of texts that have words, ends included, and the text of each."""
     some = np.flatnonzero(counts)
     row = np.repeat(some, counts[some] + 1)
@@ -164,7 +178,7 @@ def _pairs(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray
     inner[:] = True
     inner[first + counts[some]] = False
     after[inner] = words
-    return (before * size + after).astype(np.uint64), row
+    return before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), row
 
 
 def _sum_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,33 +192,38 @@ def _sum_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = pa.schema([("row_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
 
 
-def _score(vocabulary, buckets: int):
+def _score(known: np.ndarray, ends: np.ndarray, buckets: int):
+    """``known``: sums over the vocabulary (see ``_sum_words``); ``ends``: texts with words, and those of them that are good."""
+    size = int(known[0]) + 2
+    unknown, whole = known[3:5] - known[1:3], known[3:5] + ends
+
     def score(blocks: pa.Table, totals: pa.Table) -> pa.Table:
-        known, out = vocabulary.value, []
-        for row in blocks.to_pylist():
-            if row["key"] < 0:
-                continue
-            ids, counts, words = np.frombuffer(row["a"], dtype="<i8"), unpack(row["b"]).astype(np.int64), unpack(row["c"]).astype(np.int64)
-            size = len(known["n"])
-            codes, at = _pairs(words, counts, size)
-            own, inverse = np.unique(codes, return_inverse=True)
-            by, cuts = _by_bucket(own, buckets)
-            sums = np.zeros((2, len(own)), dtype=np.int64)
-            for k, a, b in zip(totals["bucket"].to_pylist(), totals["a"].to_pylist(), totals["b"].to_pylist()):
-                sums[0, by[cuts[k] : cuts[k + 1]]] = unpack(a)
-                sums[1, by[cuts[k] : cuts[k + 1]]] = unpack(b)
-            v, w = (own // np.uint64(size)).astype(np.int64), (own % np.uint64(size)).astype(np.int64)
-            losses = [np.full(len(ids), np.nan), np.full(len(ids), np.nan)]
-            some = np.flatnonzero(counts)
-            for loss, together, alone in ((losses[0], sums[1], known["n_target"]), (losses[1], sums[0], known["n"])):
-                seen = alone[v] > 0
-                weight = np.where(seen, LAMBDA, 0.0)
-                p = weight * together / np.where(seen, alone[v], 1) + (1 - weight) * (alone[w] + ALPHA) / (alone.sum() + ALPHA * size)
-                if len(some):
-                    each = -np.log(p)[inverse]
-                    loss[some] = np.bincount(at, weights=each, minlength=len(ids))[some] / (counts[some] + 1)
-            out.append(pa.table([pa.array(ids), pa.array(counts), pa.array(losses[0], from_pandas=True), pa.array(losses[1], from_pandas=True)], schema=_OUT))
-        return pa.concat_tables(out) if out else _OUT.empty_table()
+        if not blocks.num_rows or blocks["key"][0].as_py() < 0:
+            return _OUT.empty_table()
+        rows = {r["bucket"]: r for r in blocks.to_pylist()}
+        text, vocabulary = rows[-1], rows[-2]
+        ids, counts = np.frombuffer(text["a"], dtype="<i8"), unpack(text["b"]).astype(np.int64)
+        number = unpack(vocabulary["a"]).astype(np.int64)
+        codes, at = _pairs(number[unpack(text["c"])], counts)
+        own, inverse = np.unique(codes, return_inverse=True)
+        by, cuts = _by_bucket(own, buckets)
+        sums = np.zeros((2, len(own)), dtype=np.int64)
+        for k, a, b in zip(totals["bucket"].to_pylist(), totals["a"].to_pylist(), totals["b"].to_pylist()):
+            sums[0, by[cuts[k] : cuts[k + 1]]] = unpack(a)
+            sums[1, by[cuts[k] : cuts[k + 1]]] = unpack(b)
+        words, first = np.unique(np.concatenate([[0, 1], number]), return_index=True)
+        v, w = (np.searchsorted(words, half.astype(np.int64)) for half in (own >> np.uint64(32), own & np.uint64(0xFFFF_FFFF)))
+        losses = [np.full(len(ids), np.nan), np.full(len(ids), np.nan)]
+        some = np.flatnonzero(counts)
+        for loss, i, column in ((losses[0], 1, "c"), (losses[1], 0, "b")):
+            alone = np.concatenate([[ends[i], unknown[i]], unpack(vocabulary[column]).astype(np.int64)])[first]
+            seen = alone[v] > 0
+            weight = np.where(seen, LAMBDA, 0.0)
+            p = weight * sums[i] / np.where(seen, alone[v], 1) + (1 - weight) * (alone[w] + ALPHA) / (whole[i] + ALPHA * size)
+            if len(some):
+                each = -np.log(p)[inverse]
+                loss[some] = np.bincount(at, weights=each, minlength=len(ids))[some] / (counts[some] + 1)
+        return pa.table([pa.array(ids), pa.array(counts), pa.array(losses[0], from_pandas=True), pa.array(losses[1], from_pandas=True)], schema=_OUT)
 
     return score
 
@@ -223,23 +242,18 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(missing)).alias("row_id"), F.lower("text").alias("text"))
     texts = common.join_small(texts, common.staged(marks, "target"), "row_id", "left")
 
-    counted = texts.mapInArrow(common.trimmed(_words(buckets)), WIRE).repartition(partitions, "key").sortWithinPartitions("key")
-    words = common.staged(counted.mapInArrow(_sum_words, "word long, n long, n_target long"), "words")
-    total = words.agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).first()
-    least = max(LEAST, math.ceil((total.n or 0) * SHARE))
-    kept = words.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     some = texts.where(F.col("text").rlike("[0-9A-Za-z_\\x{80}-\\x{10FFFF}]")).agg(F.count("*").alias("n"), F.count("good").alias("t")).first()
-    hashed = kept.word.to_numpy().view(np.uint64)
-    order = np.argsort(hashed)
-    known = {"hash": hashed[order], "number": (order + 2).astype(np.int64)}
-    for name, column, whole, ends in (("n", "n", total.n, some.n), ("n_target", "n_target", total.t, some.t)):
-        inside = kept[column].to_numpy().astype(np.int64)
-        known[name] = np.concatenate([[ends, (whole or 0) - inside.sum()], inside])
-    vocabulary = spark.sparkContext.broadcast(known)  # at most 1 / SHARE words
-
-    wire = texts.mapInArrow(common.trimmed(_bigrams(vocabulary, buckets)), WIRE).repartition(partitions, "key")
+    blocks = common.staged(texts.mapInArrow(common.trimmed(_words(buckets)), WIRE), "blocks")
+    counted = blocks.where("key < 0").repartition(partitions, "key").sortWithinPartitions("key")
+    words = common.staged(counted.mapInArrow(_sum_words, WIRE), "words")
+    known = np.zeros(5, dtype=np.int64)
+    for row in words.where("bucket = -3").select("a").collect():  # a row a bucket
+        known += np.frombuffer(row.a, dtype="<i8")
+
+    of_block, told = (df.where("key >= 0").repartition(partitions, "key").groupBy("key") for df in (blocks, words))
+    wire = of_block.cogroup(told).applyInArrow(_bigrams(buckets), WIRE).repartition(partitions, "key")
     sums = wire.sortWithinPartitions("key").mapInArrow(_sum_bigrams, WIRE).repartition(partitions, "key")
-    scored = wire.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(vocabulary, buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
+    scored = wire.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(known, np.array([some.n, some.t]), buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
     return scored.select(
         F.when(F.col("row_id") != missing, F.col("row_id")).alias("doc_id"),
         "n_tokens",

@@ -85,6 +85,17 @@ def test_scores_of_an_empty_table(spark):
     assert lm.score(empty(spark), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
+def test_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
+    rows = [(0, "the " * 2_500_000), (1, "rare the"), (2, "the rare"), (3, "once the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    total, ends, known = 2_500_006, 4, 4  # words; texts; words of the vocabulary with both special ones
+    uniform = lambda n: 0.5 * (n + lm.ALPHA) / (total + ends + lm.ALPHA * known)
+    want = [0.5 / ends + uniform(2), 0.5 / 2 + uniform(2_500_003), 0.5 * 3 / 2_500_003 + uniform(ends)]
+    assert got[1].background_loss == pytest.approx(-sum(map(math.log, want)) / 3, abs=2e-6)
+    assert got[1].background_loss != got[3].background_loss
+
+
 def test_target_of(spark):
     assert {r.doc_id for r in lm.target_of(labels(spark)).collect()} == {0, 1, 10, 999}
 
