@@ -4,7 +4,8 @@ Two bag-of-n-grams models share one hashed feature space. The target model is fi
 are not toxic, the raw model on all documents. A document's log weight is the sum over its features of
 ``log p_target - log p_raw``; documents are drawn without replacement, with probability in proportion to the weight, by
 adding seeded Gumbel noise to the log weight and keeping the k largest. k is not a constant: it is the number of documents
-whose log weight reaches a cut calibrated on labelled rows that the model has not seen.
+whose log weight reaches a cut calibrated on labelled rows that the model has not seen, where toxic ones are bad whatever
+their quality.
 
 Features of a text: words and symbols as they are written, pairs of neighbours (a word followed by itself counts as one
 special pair, whatever the word), and pairs of their shapes (lower case, capitalised, upper case, number, or the symbol).
@@ -136,9 +137,10 @@ def select(docs: DataFrame, labels: DataFrame, seed: int = SEED, max_labels: int
     spark = docs.sparkSession
     sample = common.staged(label_sample(labels, max_labels), "labels")
     weight = log_weight(spark, fit(docs, sample))
-    held = docs.select("doc_id", "text").join(F.broadcast(sample.where("NOT fits").select("doc_id", "quality")), "doc_id").select("quality", weight.alias("w"))
+    wanted = (F.col("quality") == 1) & (F.col("toxic") == 0)  # as for the target model
+    held = docs.select("doc_id", "text").join(F.broadcast(sample.where("NOT fits").select("doc_id", wanted.alias("wanted"))), "doc_id").select("wanted", weight.alias("w"))
     rows = held.toPandas()
-    cut = calibrate(rows.w[rows.quality == 1].to_numpy(), rows.w[rows.quality == 0].to_numpy())
+    cut = calibrate(rows.w[rows.wanted.astype(bool)].to_numpy(), rows.w[~rows.wanted.astype(bool)].to_numpy())
     noise = -F.log(-F.log(common.uniform(seed, "doc_id", "text")))
     weighed = docs.withColumn("log_weight", weight)
     scores = common.staged(weighed.select("log_weight", (F.col("log_weight") + noise).alias("key")), "weights")

@@ -124,6 +124,14 @@ def test_held_out_accuracy(spark):
     assert sum(d in kept for d in range(0, 600, 4)) / 150 < 0.1
 
 
+def test_toxic_documents_of_good_quality_go(spark):
+    docs, marks = graded(spark)
+    toxic = marks.select("doc_id", F.lit(1).alias("quality"), (F.col("quality") == 0).cast("int").alias("toxic"))
+    kept = {r.doc_id for r in quality.select(docs, toxic).collect()}
+    assert sum(d in kept for d in range(0, 600, 4)) / 150 < 0.1
+    assert sum(d in kept for d in range(600) if d % 4) / 450 > 0.95
+
+
 def test_draws_by_seed_and_whole_ties(spark):
     docs, marks = graded(spark, 200)
     draw = lambda df: sorted(r.doc_id for r in quality.select(df, marks).collect())
