@@ -1,8 +1,8 @@
 """URL filter by a path-template tree.
 
-URLs of a host form a tree of path segments. Numbers are wildcards at once; level by level, a segment that is taken by less
-than SHARE of the URLs at its node becomes a wildcard of its kind, so a node keeps at most 1 / SHARE literal branches whatever
-the number of URLs. What remains is merged host by host: branches of a node whose labelled outcomes do not differ
+URLs of a host form a tree of path segments. Numbers are wildcards at once; level by level, a segment becomes a wildcard of
+its kind if it is taken by less than SHARE of the URLs at its node and has fewer than TESTED labels, too few to be told from the
+others. However large the node, a segment with enough labels stays. What remains is merged host by host: branches of a node whose labelled outcomes do not differ
 significantly become one. A template's purity is its share of good labels, smoothed towards its parent's, and a host's
 towards the corpus's; templates below the least purity are rejected with all their pages. Only counts of templates are gathered by host, never URLs.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tarn.llm import common
 
-#: Share of a node's URLs that a literal needs; levels of the tree (the rest of a path is one segment); z below which branches
+#: Labels with which a segment is a literal whatever its share: the least for which the test behind ``alike`` holds.
+TESTED = 5
+#: Share of a node's URLs that a literal with fewer labels needs; levels of the tree (the rest of a path is one segment); z below which branches
 #: are alike; weight of the parent's purity in labels; purity that a template needs.
 SHARE, DEPTH, ALIKE, SMOOTHING, LEAST = 1 / 16, 8, 1.96, 8.0, 0.4
 #: Words of a host's name by which its pages are labelled bad.
@@ -53,14 +55,15 @@ def _wildcard(segment: Column) -> Column:
 
 
 def generalised(paths: DataFrame, share: float = SHARE) -> DataFrame:
-    """``paths`` (host, path array, n, ...) with ``template``: the path after rare segments have become wildcards."""
+    """``paths`` (host, path array, n, good, bad, ...) with ``template``: the path after rare segments that labels say too little
+    of have become wildcards."""
     depth = paths.agg(F.max(F.size("path"))).first()[0] or 0
     now = paths.withColumn("template", F.array().cast("array<string>"))
     for level in range(min(depth, DEPTH + 1)):
         now = now.withColumn("segment", F.get("path", F.lit(level))).withColumn("node", F.array_join("template", "/"))
-        taken = now.where("segment IS NOT NULL").groupBy("host", "node", "segment").agg(F.sum("n").alias("n"))
+        taken = now.where("segment IS NOT NULL").groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
         total = taken.groupBy("host", "node").agg(F.sum("n").alias("total"))
-        literal = taken.join(total, ["host", "node"]).where(F.col("n") >= F.lit(share) * F.col("total"))
+        literal = taken.join(total, ["host", "node"]).where((F.col("n") >= F.lit(share) * F.col("total")) | (F.col("labels") >= TESTED))
         literal = common.staged(literal.select("host", "node", "segment", F.lit(True).alias("literal")), "literals")
         hint = F.broadcast(literal) if literal.count() <= common.BROADCAST_ROWS else literal
         now = now.join(hint, ["host", "node", "segment"], "left")

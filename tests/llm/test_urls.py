@@ -103,6 +103,15 @@ def test_judging_equals_brute_force(spark):
     assert {got[i].host for i in rejected} == {"c.net"}
 
 
+def test_small_sections_are_judged_by_their_labels(spark):
+    rows = [(i, f"http://big.org/{'news' if i % 50 else 'casino'}/{i}") for i in range(2000)]  # casino: 2 % of the pages
+    rows += [(2000 + i, f"http://even.org/{chr(97 + i % 20)}/{i}") for i in range(800)]  # 20 sections of 5 %, the last is bad
+    rows += [(3000 + i, f"http://dark.org/{'trade' if i % 50 else 'help'}/{i}") for i in range(2000)]  # a clean section amid bad ones
+    good = [(i, "/casino/" not in u and "/t/" not in u and "/trade/" not in u) for i, u in rows]
+    kept = {r.page_id for r in urls.judge(pages(spark, rows), marks(spark, good)).where("keep").collect()}
+    assert kept == {i for i, fine in good if fine}
+
+
 def test_branches_that_differ_stay_apart():
     table = [(["good", "{n}"], 50, 1), (["bad", "{n}"], 1, 50), (["fine", "{n}"], 40, 1), (["unknown"], 0, 0), ([], 0, 0)]
     names = {i: t for i, t, _ in urls.merge(table, 0.8)}
