@@ -18,7 +18,7 @@ import regex
 import tiktoken
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common, textvec
@@ -93,10 +93,13 @@ def _encode(ranks):
     """Word rows to token rows for the block they came from; each distinct word of the partition is encoded once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tiktoken.Encoding("tarn", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        coder = tiktoken.Encoding("tarn", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={})  # a word is one piece
         known: dict[bytes, list[int]] = {}
-        for batch in batches:
+        bucket = None
+        for batch in batches:  # rows come sorted by bucket, so only one bucket's words need be known at a time
             for i in np.flatnonzero(np.asarray(batch.column("key")) < 0):
+                if (now := batch.column("key")[int(i)].as_py()) != bucket:
+                    bucket, known = now, {}
                 raw = squeeze()[1].decompress(batch.column("a")[int(i)].as_py())
                 end = np.cumsum(unpack(batch.column("b")[int(i)].as_py()), dtype=np.int64).tolist()
                 flat, sizes, start = array.array("I"), [], 0
@@ -104,7 +107,7 @@ def _encode(ranks):
                     word = raw[start:stop]
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = coder._encode_single_piece(word)
+                        ids = known[word] = coder.encode_ordinary(word.decode())
                     flat.extend(ids)
                     sizes.append(len(ids))
                     start = stop
@@ -115,11 +118,31 @@ def _encode(ranks):
     return emit
 
 
-_OUT = pa.schema([("row_id", pa.int64()), ("tokens", pa.list_(pa.int32())), ("check", pa.int64())])
+_OUT = pa.schema([("row_id", pa.int64()), ("tokens", pa.list_(pa.int32())), ("exact", pa.bool_())])
 
 
-def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    out = []
+def _reassembler(ranks):
+    """Blocks and the ids of their words to texts' tokens; ``exact``: decoding them gives the bytes that the text had."""
+
+    def reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        common.lean()
+        return _reassemble(blocks, words, ranks.value)
+
+    return reassemble
+
+
+def _exact(lists: pa.ListArray, checks: np.ndarray, of_token: pa.Array) -> pa.Array:
+    """Whether each row's tokens, joined with the token-byte table, have the digest of the text; some rows at a time."""
+    out, ends = [], np.asarray(lists.offsets)
+    cuts = [0, *(np.flatnonzero(np.diff(ends[:-1] // 200_000)) + 1).tolist(), len(lists)] if len(lists) else []
+    for a, b in zip(cuts, cuts[1:]):
+        raw, off = _joined(lists.slice(a, b - a), of_token)
+        out += [_digest(raw[x:y].tobytes()) for x, y in zip(off, off[1:])]
+    return pa.array(np.array(out, np.int64) == checks, pa.bool_())
+
+
+def _reassemble(blocks: pa.Table, words: pa.Table, ranks: dict[bytes, int]) -> pa.Table:
+    out, of_token = [], None
     for row in blocks.to_pylist():
         if row["key"] < 0:
             continue
@@ -138,7 +161,8 @@ def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
         tokens = gather(flat, start[local], size[local]).astype(np.int32)
         upto = np.concatenate(([0], np.cumsum(size[local])))[np.concatenate(([0], np.cumsum(counts)))]
         lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(tokens), mask=pa.array(ids[1] == 1))
-        out.append(pa.table([pa.array(ids[0]), lists, pa.array(np.frombuffer(row["e"], dtype="<i8"))], schema=_OUT))
+        of_token = _token_bytes(ranks) if of_token is None else of_token
+        out.append(pa.table([pa.array(ids[0]), lists, _exact(lists, np.frombuffer(row["e"], dtype="<i8"), of_token)], schema=_OUT))
     return pa.concat_tables(out) if out else _OUT.empty_table()
 
 
@@ -154,14 +178,13 @@ def encode(docs: DataFrame, id_column: str = "doc_id", vocabulary: str = VOCABUL
     missing = -(1 << 63)
     texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(missing)).alias("row_id"), "text")
     wire = texts.mapInArrow(common.trimmed(_explode(4 * partitions)), WIRE).repartition(partitions, "key")
-    coded = wire.mapInArrow(common.trimmed(_encode(ranks)), WIRE).repartition(partitions, "key")
-    found = wire.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_reassemble, "row_id long, tokens array<int>, check long")
-    done = found.withColumn("now", _text_check(spark, ranks)(F.col("tokens")))
-    return done.select(
+    coded = wire.sortWithinPartitions("key").mapInArrow(common.trimmed(_encode(ranks)), WIRE).repartition(partitions, "key")
+    found = wire.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(_reassembler(ranks), "row_id long, tokens array<int>, exact boolean")
+    return found.select(
         F.when(F.col("row_id") != missing, F.col("row_id")).alias("doc_id"),
         "tokens",
         F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"),
-        (F.col("now") == F.col("check")).alias("exact"),
+        "exact",
     )
 
 
@@ -182,15 +205,6 @@ def _joined(tokens: pa.Array, of_token: pa.Array) -> tuple[np.ndarray, np.ndarra
     return raw, ends[off - off[0]]
 
 
-def _text_check(spark: SparkSession, ranks):
-    @F.arrow_udf("long")
-    def check(tokens: pa.Array) -> pa.Array:
-        raw, off = _joined(tokens, _token_bytes(ranks.value))
-        return pa.array([_digest(raw[a:b].tobytes()) for a, b in zip(off, off[1:])], pa.int64())
-
-    return check
-
-
 def decode(df: DataFrame, column: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """``df`` with a ``text`` column: the bytes of each row's tokens in order. Null tokens give null, no tokens an empty text.
 
@@ -201,6 +215,7 @@ def decode(df: DataFrame, column: str = "tokens", vocabulary: str = VOCABULARY)
 
     @F.arrow_udf("string")
     def text(tokens: pa.Array) -> pa.Array:
+        common.lean()
         of_token = _token_bytes(ranks.value)
         flat = tokens.cast(pa.list_(pa.int32()))
         inside = pa.compute.and_(pa.compute.greater_equal(flat.values, 0), pa.compute.less(flat.values, len(of_token)))

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Rows of a two-column key table that may be broadcast (about 64 MB as a hash relation); above it, joins shuffle.
 BROADCAST_ROWS = 2_000_000
 
+#: Bytes of text that are cut into tokens at a time; the arrays for it are some 50 times as large.
+SLICE = 500_000
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -71,7 +74,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join on ``key``; ``small`` is broadcast only if a count shows at most ``limit`` rows, else both sides shuffle."""
     if small.count() <= limit:
         return big.join(F.broadcast(small), key, how)
@@ -111,25 +114,43 @@ def kth_largest(df: DataFrame, score: str, k: int, bins: int = 4096) -> float |
     return lo
 
 
+#: glibc's mallopt: bytes from which a block is mapped by itself; free bytes at the heap's end that are kept; arenas.
+_MALLOPT = ((-3, 1 << 18), (-1, 1 << 20), (-8, 1))
+_lean = False
+
+
+def lean() -> None:
+    """Have this process give memory back as it frees it: large blocks are mapped one by one, and Arrow keeps no pool."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        if sys.platform == "linux":
+            libc = ctypes.CDLL(None)
+            for option, value in _MALLOPT:
+                getattr(libc, "mallopt", lambda *_: None)(option, value)
+
+
 def trim() -> None:
     """Give memory that this process no longer uses back to the system; Python workers live on between tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
 
 
 def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``task`` over a partition, with ``trim`` after it."""
+    """``task`` over a partition in a ``lean`` process, with ``trim`` after it."""
 
     def run(batches: Iterator) -> Iterator:
+        lean()
         yield from task(batches)
         trim()
 
     return run
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``budget`` bytes in each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -107,13 +107,14 @@ def log_weight(spark: SparkSession, ratios: np.ndarray) -> Column:
 
     @F.arrow_udf("double")
     def weigh(text: pa.Array) -> pa.Array:
+        common.lean()
         out = [np.zeros(0)]
         for batch in common.slices(iter([pa.record_batch([text], ["text"])]), "text"):
             bucket, row = features(batch.column("text"))
             out.append(np.bincount(row, weights=model.value[bucket], minlength=batch.num_rows))
         return pa.array(np.concatenate(out), pa.float64())
 
-    return weigh(F.col("text"))
+    return weigh.asNondeterministic()(F.col("text"))  # else the optimiser has it run once for each use of the column
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> float:

@@ -259,6 +259,10 @@ def cut_words(text: str, starts: list[int], stops: list[int]) -> str:
     return (b"".join(parts) + raw[at:]).decode()
 
 
+def _has_word(text: str) -> bool:
+    return bool(textvec.tokens(pa.array([text], pa.string())).counts[0])
+
+
 def remove(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` without all but the first copy of each repeated passage (see ``spans``); n_chars, if there, is counted anew.
 
@@ -268,18 +272,23 @@ def remove(docs: DataFrame, **parameters) -> DataFrame:
     found = spans(docs, **parameters).where("NOT first")
     cuts = common.staged(found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_cuts")), "cuts")
 
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, pairs: pa.Array) -> pa.Array:
-        out = []
-        for whole, spans_ in zip(text.to_pylist(), pairs.to_pylist()):
-            out.append(cut_words(whole, [s["start"] for s in spans_], [s["stop"] for s in spans_]) if spans_ else whole)
-        return pa.array(out, pa.string())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            fields = {f.name: row.field(i) for i, f in enumerate(row.type)}
+            texts = [cut_words(t, [c["start"] for c in c_], [c["stop"] for c in c_]) for t, c_ in zip(fields["text"].to_pylist(), batch.column("cuts").to_pylist())]
+            left = pa.array([_has_word(t) for t in texts], pa.bool_())
+            fields["text"] = pa.array(texts, row.type.field("text").type)
+            if "n_chars" in fields:
+                fields["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(row.type.field("n_chars").type)
+            yield pa.record_batch([pa.StructArray.from_arrays(list(fields.values()), fields=list(row.type))], ["row"]).filter(left)
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_hash"), "_cuts")
-    both = rows.join(cuts, (F.col("id") == F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left")
-    old, was_cut = F.col("row").getField("text"), F.col("_cuts").isNotNull()
-    done = both.withColumn("left", F.when(was_cut, cut(old, F.col("_cuts"))).otherwise(old)).where(~was_cut | F.col("left").rlike(r"[0-9A-Za-z_\x{80}-\x{10FFFF}]"))
-    counted = F.when(was_cut, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
-    changed = {"text": F.col("left"), "n_chars": counted}
-    return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    size = cuts.agg(F.count("*"), F.sum(F.size("_cuts"))).first()
+    small = (size[0] + (size[1] or 0)) * 2 <= common.BROADCAST_ROWS
+    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_hash"), F.col("_cuts").alias("cuts"))
+    both = rows.join(F.broadcast(cuts) if small else cuts, (F.col("id") == F.col("cut_id")) & (F.col("hash") == F.col("cut_hash")), "left")
+    # only rows with something to cut go through Python
+    changed = both.where("cuts IS NOT NULL").select("row", "cuts").mapInArrow(common.trimmed(cut), rows.select("row").schema)
+    whole = both.where("cuts IS NULL").select("row").unionAll(changed)
+    return whole.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -51,6 +51,8 @@ class Tokens:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts)
 
 
+#: Bytes whose hashes are worked on at a time.
+PIECE = 1 << 19
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -80,29 +82,49 @@ def tokens(column: pa.Array, by: str = "word") -> Tokens:
     inside = kind != 0
     start = np.flatnonzero(edge[:n] & inside)
     end = np.flatnonzero(edge[1:] & inside) + 1
-    size = end - start
-    at = np.flatnonzero(inside)
-    first = np.zeros(len(size), dtype=np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    if len(size):
-        place = np.arange(len(at), dtype=np.int64) - np.repeat(first, size)
-        part = (raw[at].astype(np.uint64) + np.uint64(1)) * _power_table(int(size.max()))[place]
-        hashed = mix(np.add.reduceat(part, first) ^ size.astype(np.uint64) * _STEP)
-    else:
-        hashed = np.zeros(0, np.uint64)
+    del edge, inside
+    hashed = mix(_sums(raw, start, end) ^ (end - start).astype(np.uint64) * _STEP)
     return Tokens(hashed, np.searchsorted(start, off), start, end, kind[start], raw)
 
 
+def _sums(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial of the bytes of each span (none empty, in order); PIECE bytes are worked on at a time, and longer spans in
+    parts, so that a very long text or token needs no more memory than its marks."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    size = end - start
+    upto = np.cumsum(size)
+    i = 0
+    while i < len(start):
+        before = int(upto[i - 1]) if i else 0
+        j = int(np.searchsorted(upto, before + PIECE, side="right"))
+        if j == i:  # one span longer than a piece
+            scale, step = 1, pow(int(_BASE), PIECE, 1 << 64)
+            total = 0
+            for a in range(int(start[i]), int(end[i]), PIECE):
+                part = raw[a : min(a + PIECE, int(end[i]))].astype(np.uint64) + np.uint64(1)
+                total += int((part * _power_table(PIECE)[: len(part)]).sum(dtype=np.uint64)) * scale
+                scale = scale * step % (1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+            i += 1
+            continue
+        n = size[i:j]
+        first = upto[i:j] - n - before
+        place = np.arange(int(upto[j - 1]) - before, dtype=np.int64) - np.repeat(first, n)
+        part = raw[place + np.repeat(start[i:j], n)].astype(np.uint64) + np.uint64(1)
+        part *= _power_table(int(n.max()))[place]
+        out[i:j] = np.add.reduceat(part, first)
+        i = j
+    return out
+
+
 def hash_rows(column: pa.Array) -> np.ndarray:
     """Hash of each whole value of a string or binary column."""
     raw, off = flat_binary(column)
     size = np.diff(off)
     out = np.zeros(len(size), dtype=np.uint64)
     if len(raw):
-        place = np.arange(len(raw), dtype=np.int64) - np.repeat(off[:-1], size)
-        part = (raw.astype(np.uint64) + np.uint64(1)) * _power_table(int(size.max()))[place]
         some = size > 0
-        out[some] = np.add.reduceat(part, off[:-1][some])
+        out[some] = _sums(raw, off[:-1][some], off[1:][some])
     return mix(out ^ size.astype(np.uint64) * _STEP)
 
 
