@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch that goes to a Python worker; the usual limits let one of long texts be four times as large.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
