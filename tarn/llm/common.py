@@ -115,7 +115,7 @@ def kth_largest(df: DataFrame, score: str, k: int, bins: int = 4096) -> float |
 
 
 #: glibc's mallopt: bytes from which a block is mapped by itself; free bytes at the heap's end that are kept; arenas.
-_MALLOPT = ((-3, 1 << 18), (-1, 1 << 20), (-8, 1))
+_MALLOPT = ((-3, 32 << 20), (-1, 32 << 20), (-8, 1))
 _lean = False
 
 

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm import common
+from tarn.llm import common, graph
 from tarn.llm.vectors import SCALE, opened, packed, scores, unit, usable
 
 LEAST, AXES, BLOCK, SHORT = 0.9, 4, 2048, 256
+#: Blocks on a side of the squares in which blocks are joined; a power of two.
+SQUARE = 8
 
 
 def epsilon(least: float) -> float:
@@ -79,20 +81,33 @@ def _interval_join(a: np.ndarray, b: np.ndarray, same: bool, far: float, least:
             stack += [(i, j, k, m), (i, j, m, n)]
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b: every pair of ids whose cosine, rounded to millionths, is ``least`` or more.
+def near_duplicates(vectors: DataFrame, least: float = LEAST, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """Members (id, node) and pairs (a, b, similarity), a < b: a node stands for a vector, its members are the ids that have
+    it, and two nodes are a pair if their cosine, rounded to millionths, is ``least`` or more.
 
-    Repeated rows count once; of several vectors of one id the best match counts, and an id is no pair with itself. Rows
+    Repeated rows count once. Rows
     without id, with a null, empty, NaN or infinite vector or one of another length than most have are left out; a zero
-    vector is like nothing. ``least`` must be above 0. Tables of no or one row give no rows; other columns are ignored.
+    vector is like nothing. ``least`` must be above 0. Tables of no or one row give no pairs; other columns are ignored.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and no more than 1")
     spark = vectors.sparkSession
     rows, size = usable(vectors, id_column, column)
     if not size:
-        return spark.createDataFrame([], "id_a long, id_b long, similarity double")
-    rows = rows.distinct()
+        return spark.createDataFrame([], "id long, node long"), spark.createDataFrame([], "a long, b long, similarity double")
+    zero = F.when(F.forall("v", lambda x: x == 0), F.col("id"))  # zero vectors are not even like each other
+    names = common.staged(rows.select("id", F.xxhash64("v", zero).alias("one"), F.xxhash64(F.lit(1), "v", zero).alias("two"), "v"), "names")
+    member, nodes = graph.contents(names, "v")
+    return member, common.staged(_pairs(nodes.select(F.col("node").alias("id"), "v"), size, least), "pairs")
+
+
+def classes(vectors: DataFrame, least: float = LEAST, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, class_id, links) of each id with a usable vector (see ``near_duplicates``): a link is another id whose cosine
+    is ``least`` or more, equal vectors included; class_id is the smallest id that links connect with it."""
+    return graph.classes(*near_duplicates(vectors, least, id_column, column)).withColumnRenamed("id", "vec_id")
+
+
+def _pairs(rows: DataFrame, size: int, least: float) -> DataFrame:
     axes = principal_axes(rows, size)
     eps = epsilon(least)
     lead = min(AXES, size)
@@ -126,24 +141,32 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_column: str = "
     meet = left.join(right, "cell").where(F.col("a") <= F.col("b")).where(gap <= eps * eps).select("a", "b").distinct()
     floor = int(round(least * SCALE))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids_a, va = opened(row["ids_a"], row["va"], size)
-                ids_b, vb = opened(row["ids_b"], row["vb"], size)
-                for i, j, s in _interval_join(va, vb, row["a"] == row["b"], eps * eps, floor):
-                    x, y = ids_a[i], ids_b[j]
-                    ok = x != y
-                    yield pa.record_batch([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.array(s[ok])], ["id_a", "id_b", "m"])
-
-    full = meet.repartition("a", "b").join(blocks.select(F.col("block").alias("a"), F.col("ids").alias("ids_a"), F.col("vectors").alias("va")), "a")
-    full = full.join(blocks.select(F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vb")), "b").select("a", "b", "ids_a", "va", "ids_b", "vb")
-    found = full.mapInArrow(join, "id_a long, id_b long, m int").groupBy("id_a", "id_b").agg(F.max("m").alias("m"))
-    return found.select("id_a", "id_b", (F.col("m") / F.lit(float(SCALE))).alias("similarity"))
+    def join(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        opened_ = {row["block"]: opened(row["ids"], row["vectors"], size) for row in held.to_pylist()}
+        out = [pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32())], ["a", "b", "m"])]
+        for a, b in zip(wanted["a"].to_pylist(), wanted["b"].to_pylist()):
+            (ids_a, va), (ids_b, vb) = opened_[a], opened_[b]
+            for i, j, s in _interval_join(va, vb, a == b, eps * eps, floor):
+                x, y = ids_a[i], ids_b[j]
+                ok = x != y
+                out.append(pa.table([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok]), pa.array(s[ok])], ["a", "b", "m"]))
+        return pa.concat_tables(out)
+
+    # a square of SQUARE by SQUARE neighbouring blocks is one group: its blocks travel once, whatever pairs of them may meet
+    side = lambda c: F.shiftright(c, SQUARE.bit_length() - 1)
+    meet = common.staged(meet.select(side("a").alias("row"), side("b").alias("column"), "a", "b"), "meet")
+    key = ["row", "column"]
+    wanted = meet.select(*key, F.col("a").alias("block")).union(meet.select(*key, F.col("b").alias("block"))).distinct()
+    held = common.staged(wanted, "wanted").join(blocks, "block").select(*key, "block", "ids", "vectors")
+    found = meet.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(join, "a long, b long, m int").groupBy("a", "b").agg(F.max("m").alias("m"))
+    return found.select("a", "b", (F.col("m") / F.lit(float(SCALE))).alias("similarity"))
 
 
 SQL = """
-WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v) * 1000000)::INT AS m FROM e a JOIN e b ON a.vec_id < b.vec_id)
-SELECT id_a, id_b, m / 1000000.0::DOUBLE AS similarity FROM s WHERE m >= 900000
+WITH RECURSIVE e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.v, b.v) * 1000000) >= 900000),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, s.b FROM reach r JOIN s ON s.a = r.b),
+class AS (SELECT a AS vec_id, min(b) AS class_id FROM reach GROUP BY a),
+link AS (SELECT a AS vec_id, count(DISTINCT b) AS links FROM s GROUP BY a)
+SELECT vec_id, class_id, coalesce(links, 0) AS links FROM class LEFT JOIN link USING (vec_id)
 """

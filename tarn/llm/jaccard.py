@@ -1,12 +1,15 @@
 """N-gram Jaccard join by chosen paths.
 
-Each text is the set of its word n-grams. Sets are embedded as K minhash values, and a run grows a tree of paths: in a node
-each set picks every (coordinate, value) with probability ``growth / (threshold * K)`` by a hash that the node seeds, so two
-sets at the threshold are expected to share ``growth`` of their picks. A pick is a child node. Since picks depend on the set and
-the node alone, a task finds all its sets' paths without seeing other sets; one shuffle brings each first-level node's
-sets together, where the node is split by the further picks until a bucket is small or the last level is reached, and
-every pair of a bucket is compared by size and by the last four bits of their minhash values. Runs repeat until a pair at the threshold is missed with
-no more than ``1 - recall``. Survivors are compared exactly on their full n-gram sets, by text, once for each pair.
+Each text is the set of its word n-grams. Documents with the same set are told by two hashes, and the smallest id stands for
+all of them. Sets are embedded as K minhash values, and a run grows a tree of paths: in a node each set picks every
+(coordinate, value) with probability ``growth / (threshold * K)`` by a hash that the node seeds, so two sets at the threshold
+are expected to share ``growth`` of their picks. A pick is a child node. Since picks depend on the set and the node alone, a
+task finds all its sets' paths without seeing other sets; one shuffle brings each first-level node's sets together, where
+the node is split by the further picks until a bucket is small. Buckets that are still large then are split by picks among
+the last four bits of the minhash values, for as long as that saves work; a node of more sets than a task should hold is not
+kept, but its sets go on to its children by another shuffle. All pairs of a small bucket are compared by size and by those
+bits. Runs repeat until a pair at the threshold is missed, by paths or by bits, with no more than ``1 - recall``.
+Survivors are compared exactly on their full n-gram sets, once for each pair.
 """
 
 from __future__ import annotations
@@ -19,25 +22,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm import common, textvec
+from tarn.llm import common, graph, textvec
 from tarn.llm.graph import components
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.99
 #: Minhash coordinates; levels of a path; picks that sets at the threshold share in expectation; bucket size not split further.
 COORDINATES, LEVELS, GROWTH, SMALL = 64, 3, 1.2, 24
-#: Documents of a group that one task compares with each other at a time; larger groups are cut into squares of this side.
-SIDE = 1000
+#: Picks of last bits that sets at the threshold share in expectation; sets of a node that a task holds, beyond it the node is dealt out.
+DEEP, HOT = 2.0, 50_000
+#: Documents of a group, and n-grams, that one task compares with each other at a time; larger groups are cut into squares.
+SIDE, GRAMS = 1000, 2_000_000
 
 _KEYS = textvec.mix(np.arange(1, 4096, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _NIBBLES = np.uint64(0x1111_1111_1111_1111)
 
 
-def runs_needed(recall: float = RECALL, growth: float = GROWTH, levels: int = LEVELS) -> int:
-    """Runs after which a pair at the threshold shares a path in one of them with probability ``recall``."""
-    alive = 1.0
-    for _ in range(levels):
-        alive = 1 - math.exp(-growth * alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+def _least_bits(threshold: float) -> float:
+    """Coordinates whose last four bits must agree for a pair to be compared exactly: 3.5 sigma below the expectation."""
+    share = threshold + (1 - threshold) / 16
+    return COORDINATES * share - 3.5 * math.sqrt(COORDINATES * share * (1 - share))
+
+
+def runs_needed(recall: float = RECALL, threshold: float = THRESHOLD, levels: int = LEVELS) -> int:
+    """Runs after which a pair at the threshold is a candidate with probability ``recall``.
+
+    Counted over the number of minhash values on which such a pair agrees: it must share a path down to a bucket that is no
+    longer split, in one run at least, and its last bits must agree often enough.
+    """
+    n, least = COORDINATES, _least_bits(threshold)
+    binomial = lambda m, k, p: math.comb(m, k) * p**k * (1 - p) ** (m - k)
+    odds = []
+    for k in range(n + 1):
+        bits = sum(binomial(n - k, j, 1 / 16) for j in range(n - k + 1) if k + j >= least)
+        agree = (k + (n - k) / 16) / n
+        alive = 1.0
+        for _ in range(50):
+            alive = 1 - math.exp(-DEEP * agree / (threshold + (1 - threshold) / 16) * alive)
+        for _ in range(levels):
+            alive = 1 - math.exp(-GROWTH * k / (n * threshold) * alive)
+        odds.append((binomial(n, k, threshold) * bits, alive))
+    for runs in range(1, len(_KEYS) - 300):
+        if sum(p * (1 - (1 - alive) ** runs) for p, alive in odds) >= recall:
+            return runs
+    raise ValueError("this recall cannot be reached")
 
 
 def minhashes(sets: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -59,7 +86,7 @@ def _paths(n: int, threshold: float, runs: int, levels: int):
     limit = np.uint64(min(GROWTH / (threshold * COORDINATES), 1.0) * (2**64 - 1025))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 1_000_000):
+        for batch in common.slices(batches, "text"):
             sets, rows = textvec.ngram_sets(textvec.tokens(batch.column("text")), n)
             size = np.diff(rows)
             ids = np.asarray(batch.column("doc_id"))
@@ -103,8 +130,7 @@ _PATH_SCHEMA = "node long, doc_id long, whole long, size long, sketch binary, mo
 
 def _compare(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket that may reach the threshold, by size and by minhash values whose last four bits agree."""
-    share = threshold + (1 - threshold) / 16
-    least = COORDINATES * share - 3.5 * math.sqrt(COORDINATES * share * (1 - share))
+    least = _least_bits(threshold)
     left, right = [], []
     step = max(1, 2_000_000 // len(ids))
     for a in range(0, len(ids), step):
@@ -122,107 +148,184 @@ def _compare(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: f
     return ids[np.concatenate(left)], ids[np.concatenate(right)]
 
 
-def _split(threshold: float, levels: int):
-    def node_pairs(ids, size, sketch, more) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        links = [np.frombuffer(m, dtype="<u8").reshape(-1, 2) for m in more]
-        member = np.repeat(np.arange(len(ids)), [len(x) for x in links])
-        links = np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
-        stack = [(np.arange(len(ids)), None, 1)]
+_SPLIT_SCHEMA = "a long, b long, " + _PATH_SCHEMA
+_TOKENS = textvec.mix(np.arange(16 * COORDINATES, dtype=np.uint64) + _KEYS[500])
+_SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def _links(more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, child) of all rows' further picks, and the row of each."""
+    raw, off = common.flat_binary(more)
+    return raw.view("<u8").reshape(-1, 2), np.repeat(np.arange(len(more)), np.diff(off) // 16)
+
+
+def _children(node: np.uint64, links: np.ndarray, owner: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Children of a node that its sets pick, the set that picks each, and whether the picks are of last bits, for which
+    there are no further picks left."""
+    own = links[:, 0] == node
+    if own.any():
+        return links[own, 1], owner[own], False
+    drawn = textvec.mix(_TOKENS ^ node)
+    share = threshold + (1 - threshold) / 16
+    chosen = np.flatnonzero(drawn < np.uint64(min(DEEP / (share * COORDINATES), 1.0) * (2**64 - 1025)))
+    child, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for token in chosen.tolist():
+        coordinate, bits = divmod(token, 16)
+        at = np.flatnonzero((sketch[:, coordinate // 16] >> _SHIFTS[coordinate % 16]) & np.uint64(15) == bits)
+        child.append(np.full(len(at), textvec.mix(drawn[token] + textvec._STEP)))
+        who.append(at)
+    return np.concatenate(child), np.concatenate(who), True
+
+
+def _saves(child: np.ndarray, n: int) -> bool:
+    """Whether comparing a node's children is less than half the work of comparing its n sets."""
+    return int((np.unique(child, return_counts=True)[1].astype(np.int64) ** 2).sum()) * 2 < n * n
+
+
+def _split(threshold: float):
+    def node_pairs(node, ids, size, sketch, more) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        links, owner = _links(more)
+        stack = [(np.arange(len(ids)), node)]
         while stack:
-            inside, node, level = stack.pop()
+            inside, node = stack.pop()
             if len(inside) < 2:
                 continue
-            if len(inside) <= SMALL or level == levels:
+            if len(inside) <= SMALL:
                 yield _compare(ids[inside], size[inside], sketch[inside], threshold)
                 continue
-            if node is None:  # children of the first-level node are the links whose parent is no child
-                own = ~np.isin(links[:, 0], links[:, 1])
-            else:
-                own = links[:, 0] == node
-            child, who = links[own, 1], member[own]
+            child, who, bits = _children(node, links, owner, sketch[inside], threshold)
+            if bits:
+                if not _saves(child, len(inside)):
+                    yield _compare(ids[inside], size[inside], sketch[inside], threshold)
+                    continue
+                who = inside[who]
             order = np.argsort(child, kind="stable")
             child, who = child[order], who[order]
             cuts = np.flatnonzero(np.concatenate(([True], child[1:] != child[:-1]))) if len(child) else []
             for a, b in zip(cuts, [*cuts[1:], len(child)]):
                 if b - a > 1:
-                    stack.append((np.unique(who[a:b]), child[a], level + 1))
+                    stack.append((np.unique(who[a:b]), child[a]))
+
+    def sketches(column: pa.Array) -> np.ndarray:
+        return common.flat_binary(column)[0].view("<u8").reshape(len(column), -1)
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of one node as rows of its children."""
+        child, who, _ = _children(np.asarray(batch.column("node"))[:1].view(np.uint64)[0], *_links(batch.column("more")), sketches(batch.column("sketch")), threshold)
+        rows = batch.take(pa.array(who))
+        nothing = pa.nulls(len(who), pa.int64())
+        return pa.record_batch([nothing, nothing, pa.array(child.view(np.int64)), *[rows.column(i) for i in range(1, rows.num_columns)]], ["a", "b", *rows.schema.names])
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        node, ids = t["node"].to_numpy(), t["doc_id"].to_numpy()
+        whole, size = t["whole"].to_numpy(), t["size"].to_numpy()
+        one = lambda name: t[name].chunk(0) if t[name].num_chunks == 1 else t[name].combine_chunks()
+        sketch, more = sketches(one("sketch")), one("more")
+        # rows come sorted by node, set and id: the first of each set stands for all with the same set
+        lead = np.ones(len(node), dtype=bool)
+        lead[1:] = (node[1:] != node[:-1]) | (whole[1:] != whole[:-1])
+        at = np.flatnonzero(lead)
+        cuts = np.flatnonzero(np.concatenate(([True], node[at][1:] != node[at][:-1])))
+        ends = np.append(cuts[1:], len(at))
+        a_out, b_out = [], []
+        for a, b in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1]):
+            rows = at[a:b]
+            if b - a <= SMALL:
+                found = [_compare(ids[rows], size[rows], sketch[rows], threshold)]
+            else:
+                found = node_pairs(node[rows[0] : rows[0] + 1].view(np.uint64)[0], ids[rows], size[rows], sketch[rows], more.take(pa.array(rows)))
+            for x, y in found:
+                a_out.append(np.minimum(x, y))
+                b_out.append(np.maximum(x, y))
+        if a_out:
+            x, y = np.concatenate(a_out), np.concatenate(b_out)
+            ok = x != y
+            if ok.any():
+                both = np.unique(np.stack([x[ok], y[ok]]), axis=1)
+                rest = [pa.nulls(both.shape[1], t.schema.field(name).type) for name in t.schema.names]
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), *rest], ["a", "b", *t.schema.names])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            node, ids = t["node"].to_numpy(), t["doc_id"].to_numpy()
-            whole, size = t["whole"].to_numpy(), t["size"].to_numpy()
-            sketch = common.flat_binary(t["sketch"].combine_chunks())[0].view("<u8").reshape(len(node), -1)
-            # rows come sorted by node, set and id: the first of each set stands for all with the same set
-            lead = np.ones(len(node), dtype=bool)
-            lead[1:] = (node[1:] != node[:-1]) | (whole[1:] != whole[:-1])
-            at = np.flatnonzero(lead)
-            cuts = np.flatnonzero(np.concatenate(([True], node[at][1:] != node[at][:-1])))
-            ends = np.append(cuts[1:], len(at))
-            more = t["more"].combine_chunks() if isinstance(t["more"], pa.ChunkedArray) else t["more"]
-            a_out, b_out = [], []
-            for a, b in zip(cuts[ends - cuts > 1], ends[ends - cuts > 1]):
-                rows = at[a:b]
-                if b - a <= SMALL:
-                    found = [_compare(ids[rows], size[rows], sketch[rows], threshold)]
-                else:
-                    found = node_pairs(ids[rows], size[rows], sketch[rows], [more[int(r)].as_py() for r in rows])
-                for x, y in found:
-                    a_out.append(np.minimum(x, y))
-                    b_out.append(np.maximum(x, y))
-            if a_out:
-                x, y = np.concatenate(a_out), np.concatenate(b_out)
-                ok = x != y
-                if ok.any():
-                    both = np.unique(np.stack([x[ok], y[ok]]), axis=1)
-                    yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
+        held, tail, last = [], 0, None  # rows of whole nodes, and of the last one; number of those, and its key
+        passing = kept = None  # the node that is dealt out; the node that is held however large, as dealing it out saves nothing
         for batch in batches:
-            while batch.num_rows:  # keep each node's rows together: hold what may go on in the next batch
-                node = np.asarray(batch.column("node"))
-                if held and node[0] != held[-1].column("node")[-1].as_py() and sum(h.num_rows for h in held) > 20_000:
-                    yield from flush()
-                    held.clear()
-                change = np.flatnonzero(node[1:] != node[:-1])
-                cut = int(change[-1]) + 1 if len(change) else batch.num_rows
-                held.append(batch.slice(0, cut))
-                batch = batch.slice(cut)
-        if held:
-            yield from flush()
+            node = np.asarray(batch.column("node"))
+            if passing is not None and len(node):
+                k = len(node) if (node == passing).all() else int(np.argmin(node == passing))
+                if k:
+                    yield dealt(batch.slice(0, k))
+                batch, node = batch.slice(k), node[k:]
+            if not len(node):
+                continue
+            passing = None
+            change = np.flatnonzero(node[1:] != node[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut or node[0] != last:
+                held.append(batch.slice(0, cut)) if cut else None
+                if sum(h.num_rows for h in held) > 20_000:
+                    yield from flush(held)
+                    held = []
+                tail = 0
+            held.append(batch.slice(cut))
+            tail, last = tail + batch.num_rows - cut, node[-1]
+            if tail > HOT and last != kept:
+                t = pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=1 << 40)[0]
+                yield from flush([t.slice(0, t.num_rows - tail)])
+                of_node = t.slice(t.num_rows - tail)
+                child, _, bits = _children(node[-1:].view(np.uint64)[0], *_links(of_node.column("more")), sketches(of_node.column("sketch")), threshold)
+                if bits and not _saves(child, tail):
+                    held, kept = [of_node], last
+                else:
+                    yield dealt(of_node)
+                    held, tail, passing, last = [], 0, last, None
+        yield from flush(held)
 
     return emit
 
 
-def candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """(a, b), a < b: pairs of documents with different sets that share a path in some run and may reach the threshold."""
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    rows = texts.mapInArrow(common.trimmed(_paths(n, threshold, runs_needed(recall, GROWTH, levels), levels)), _PATH_SCHEMA)
-    return rows.repartition("node").sortWithinPartitions("node", "whole", "doc_id").mapInArrow(common.trimmed(_split(threshold, levels)), "a long, b long").distinct()
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of rows with id and text, in lower case; th tells texts of one id apart."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def candidates(texts: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
+    """(a, b), a < b, from ``texts`` (doc_id, text): pairs of ids with different sets that share a path in some run and may reach the threshold."""
+    rows, found = texts.mapInArrow(common.trimmed(_paths(n, threshold, runs_needed(recall, threshold, levels), levels)), _PATH_SCHEMA), None
+    while True:
+        split = rows.repartition("node").sortWithinPartitions("node", "whole", "doc_id").mapInArrow(common.trimmed(_split(threshold)), _SPLIT_SCHEMA)
+        split = common.staged(split, "split")
+        pairs = split.where("a IS NOT NULL").select("a", "b")
+        found = pairs if found is None else found.unionAll(pairs)
+        rows = split.where("a IS NULL").drop("a", "b")
+        if rows.isEmpty():
+            return found.distinct()
 
 
-def identical(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_ids, jaccard): the ids, two or more, of each group of documents with the same set of n-grams."""
+def named(texts: DataFrame, n: int = N) -> DataFrame:
+    """(id, th, one, two, size): two hashes and the size of each text's set of n-grams; texts without words have no row."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text", 1_000_000):
+        for batch in common.slices(batches, "text"):
             sets, rows = textvec.ngram_sets(textvec.tokens(batch.column("text")), n)
             some = np.flatnonzero(np.diff(rows))
             if len(some):
                 one = np.add.reduceat(textvec.mix(sets ^ _KEYS[70]), rows[some])
                 two = np.add.reduceat(textvec.mix(sets ^ _KEYS[71]), rows[some])
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(some)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "one", "two"])
+                of = pa.array(some)
+                yield pa.record_batch([batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(rows)[some])], ["id", "th", "one", "two", "size"])
 
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
-    groups = texts.mapInArrow(common.trimmed(name), "doc_id long, one long, two long").groupBy("one", "two").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-    return groups.where("size(doc_ids) > 1").select("doc_ids", F.lit(1.0).alias("jaccard"))
+    return texts.mapInArrow(common.trimmed(name), "id long, th long, one long, two long, size long")
 
 
 def _verify(n: int, threshold: float):
     def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
-        for part in common.slices(iter(texts.to_batches()), "text", 1_000_000):
+        common.lean()
+        for part in common.slices(iter(texts.to_batches()), "text"):
             values, rows = textvec.ngram_sets(textvec.tokens(part.column("text")), n)
             for i, doc in enumerate(part.column("doc_id").to_pylist()):
                 sets.setdefault(doc, []).append(values[rows[i] : rows[i + 1]].copy())
@@ -241,14 +344,17 @@ def _verify(n: int, threshold: float):
     return compare
 
 
-def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs with different sets whose exact Jaccard similarity reaches the threshold.
-
-    A set that several documents share is represented by the smallest id.
-    """
-    pairs = common.staged(candidates(docs, n, threshold, recall, levels), "candidates")
+def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """Members (id, node) and pairs (a, b, jaccard), a < b: a node stands for a set of n-grams, its members are the documents
+    that have it, and two nodes are a pair if the exact Jaccard similarity of their sets reaches the threshold."""
+    texts = texts_of(docs)
+    member, nodes = graph.contents(common.staged(named(texts, n), "names"), "th", "size")
+    leads = nodes.select(F.col("id").alias("doc_id"), "th", "node")
+    texts = common.join_small(texts, leads, ["doc_id", "th"]).select(F.col("node").alias("doc_id"), "text")  # one text of each set; more only where rows repeat
+    pairs = common.staged(candidates(texts, n, threshold, recall, levels), "candidates")
     label = components(pairs)
-    sizes = label.groupBy("component").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    label = common.staged(label.join(nodes.select(F.col("node").alias("id"), "size"), "id"), "labels")
+    sizes = label.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SIDE, F.sum("size") / GRAMS)).cast("int").alias("sides"))
     place = common.staged(label.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int").alias("side")), "places")
     keyed = (
         pairs.join(place.select(F.col("id").alias("a"), "component", F.col("side").alias("row")), "a")
@@ -258,28 +364,28 @@ def near(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     keyed = common.staged(keyed, "keyed")
     key = ["component", "row", "column"]
     wanted = keyed.select(*key, F.col("a").alias("doc_id")).union(keyed.select(*key, F.col("b").alias("doc_id"))).distinct()
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
     texts = common.join_small(texts, common.staged(wanted, "wanted"), "doc_id").select(*key, "doc_id", "text")
-    return keyed.groupBy(*key).cogroup(texts.groupBy(*key)).applyInArrow(_verify(n, threshold), "a long, b long, jaccard double")
-
+    found = keyed.groupBy(*key).cogroup(texts.groupBy(*key)).applyInArrow(_verify(n, threshold), "a long, b long, jaccard double")
+    return member, common.staged(found, "pairs")
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """(doc_ids, jaccard): every pair of documents whose n-gram sets reach the threshold, in linear space.
 
-    A row of jaccard 1 lists all documents with the same set (two or more): each two of them are a pair. Any other row has
-    two ids, the smallest of either set; each document with the first's set pairs with each one with the second's.
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
+    """(doc_id, class_id, links) of each document: a link is another document whose set of n-grams reaches the threshold,
+    copies included; class_id is the smallest id that links connect with the document.
 
     Texts are compared in lower case by words; one of 1 to n-1 words has one shingle, its words. Null, empty and wordless
-    texts pair with nothing, nor do rows without doc_id. Repeated rows count once; where rows of one id differ, the best
-    match counts. An empty table gives no rows; other columns are ignored.
+    texts have no links and are a class of their own; rows without doc_id are left out. Repeated rows count once; an id with
+    several different texts has the links of each of them. An empty table gives no rows; other columns are ignored.
     """
-    pairs = near(docs, n, threshold, recall, levels).select(F.array("a", "b").alias("doc_ids"), "jaccard")
-    return identical(docs, n).unionByName(pairs)
+    member, pairs = near(docs, n, threshold, recall, levels)
+    found = graph.classes(member, pairs).withColumnRenamed("id", "doc_id")
+    alone = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("class_id", F.col("doc_id")).withColumn("links", F.lit(0).cast("long"))
+    every = found.unionByName(alone)
+    return every.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, levels: int = LEVELS) -> DataFrame:
-    """``docs`` without all but the smallest id of each group that ``join`` connects. Rows that pair with nothing stay."""
-    groups = common.staged(join(docs, n, threshold, recall, levels).select("doc_ids"), "groups")
-    links = groups.select(F.element_at("doc_ids", 1).alias("a"), F.explode("doc_ids").alias("b"))
-    gone = common.staged(components(links).where("id <> component").select(F.col("id").alias("doc_id")), "gone")
+    """``docs`` without all but the smallest id of each class (see ``classes``). Rows without id stay."""
+    member, pairs = near(docs, n, threshold, recall, levels)
+    gone = common.staged(graph.classes(member, pairs).where("id <> class_id").select(F.col("id").alias("doc_id")), "gone")
     return common.join_small(docs, gone, "doc_id", "left_anti")

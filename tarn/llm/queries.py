@@ -37,18 +37,18 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents with similar sets of word trigrams, as lists of ids."""
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    """The class of each document with similar sets of word trigrams, and how many documents it is linked with."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest other vectors of every vector."""
+    """The ten nearest other vectors of every vector whose id is divisible by 20."""
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors whose cosine is 0.9 or more."""
-    return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
+    """The class of each vector by cosines of 0.9 or more, and how many vectors it is linked with."""
+    return ego.classes(table(spark, sf_dir, "embeddings"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,8 +35,9 @@ def unit(batch: pa.RecordBatch, size: int) -> np.ndarray:
     return flat / np.where(norm > 0, norm, 1.0)[:, None]
 
 
-def packed(rows: DataFrame, size: int, per_block: int) -> DataFrame:
-    """(block, ids, vectors): up to ``per_block`` unit vectors a row, in the order of each partition."""
+def packed(rows: DataFrame, size: int, per_block: int, whole_ids: bool = False) -> DataFrame:
+    """(block, ids, vectors): up to ``per_block`` unit vectors a row, in the order of each partition; ``whole_ids``: rows come
+    sorted by id, and an id's vectors share a block unless there are more than ``per_block``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, parts, held = TaskContext.get().partitionId() * BLOCKS_A_TASK, [], [], 0
@@ -44,18 +45,26 @@ def packed(rows: DataFrame, size: int, per_block: int) -> DataFrame:
         def row() -> pa.RecordBatch:
             return pa.record_batch([pa.array([block]), pa.array([common.blob(np.concatenate(ids))]), pa.array([common.blob(np.concatenate(parts))])], ["block", "ids", "vectors"])
 
-        for whole in batches:
-            for a in range(0, whole.num_rows, per_block):
-                batch = whole.slice(a, per_block)
-                while batch.num_rows:
-                    take = batch.slice(0, per_block - held)
+        last = None
+        for batch in batches:
+            n, at = batch.num_rows, 0
+            new = np.asarray(batch.column("id"))
+            starts = np.flatnonzero(np.concatenate((new[:1] != last, new[1:] != new[:-1])))
+            while at < n:
+                stop, full = min(n, at + per_block - held), n - at >= per_block - held
+                if full and whole_ids:  # end the block where an id begins, unless one id fills it
+                    fits = starts[(starts >= at + (not held)) & (starts <= stop)]
+                    stop = int(fits[-1]) if len(fits) else stop
+                if stop > at:
+                    take = batch.slice(at, stop - at)
                     ids.append(np.asarray(take.column("id")))
                     parts.append(unit(take, size))
                     held += take.num_rows
-                    batch = batch.slice(take.num_rows)
-                    if held == per_block:
-                        yield row()
-                        block, ids, parts, held = block + 1, [], [], 0
+                if full:
+                    yield row()
+                    block, ids, parts, held = block + 1, [], [], 0
+                at = stop
+            last = new[-1] if n else last
         if held:
             yield row()
 

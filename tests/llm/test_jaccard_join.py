@@ -24,26 +24,30 @@ def pairs_by_hand(docs, threshold=jaccard.THRESHOLD):
     return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if score(a, b) >= threshold}
 
 
-def all_pairs(df, docs):
-    """Pairs of documents that the rows of ``join`` stand for."""
-    same = {}
-    for d, t in docs:
-        if d is not None and t is not None and word_sets(t):
-            same.setdefault(frozenset(word_sets(t)), set()).add(d)
+def expanded(found):
+    """Pairs of documents that members and pairs of ``near`` stand for."""
+    member, pairs = found
     groups = {}
-    for g in same.values():
-        groups.setdefault(min(g), set()).update(g)
-    out = set()
-    for row in df.collect():
-        ids = row.doc_ids
-        assert ids == sorted(set(ids))
-        if len(ids) == 2 and row.jaccard < 1:
-            out |= {tuple(sorted((x, y))) for x in groups[ids[0]] for y in groups[ids[1]] if x != y}
-        else:
-            out |= {(x, y) for x in ids for y in ids if x < y}
+    for row in member.collect():
+        groups.setdefault(row.node, set()).add(row.id)
+    out = {(x, y) for ids in groups.values() for x in ids for y in ids if x < y}
+    for row in pairs.collect():
+        assert row.a < row.b
+        out |= {tuple(sorted((x, y))) for x in groups[row.a] for y in groups[row.b] if x != y}
     return out
 
 
+def classes_by_hand(ids, pairs):
+    """Class and number of links of each id."""
+    name, links = {d: d for d in ids}, dict.fromkeys(ids, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        low, high = sorted((name[a], name[b]))
+        name = {d: low if c == high else c for d, c in name.items()}
+    return {d: (name[d], links[d]) for d in ids}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_recall_and_precision_against_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -54,8 +58,11 @@ def test_recall_and_precision_against_brute_force(spark, seed):
             docs.append((d, base if k == 3 else near(rng, base, rng.choice([0, 1, 2, 4, 6]) * k)))
             d += 1
     want = pairs_by_hand(docs)
-    got = all_pairs(jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")), docs)
-    assert got <= want and len(got) >= 0.95 * len(want) > 30
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = expanded(jaccard.near(df))
+    assert got <= want and len(got) >= jaccard.RECALL * len(want) > 30
+    found = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(df).collect()}
+    assert found == classes_by_hand([d for d, _ in docs], got)
 
 
 def test_a_large_group_needs_many_squares(spark, monkeypatch):
@@ -64,17 +71,33 @@ def test_a_large_group_needs_many_squares(spark, monkeypatch):
     base = prose(rng, 100)
     docs = [(i, near(rng, base, 2)) for i in range(40)]
     want = pairs_by_hand(docs)
-    got = all_pairs(jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")), docs)
-    assert got <= want and len(got) >= 0.9 * len(want)
+    got = expanded(jaccard.near(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got <= want and len(got) >= jaccard.RECALL * len(want)
+
+
+@pytest.mark.parametrize("hot, small", [(40, 24), (100_000, 2)])
+def test_hot_nodes_are_dealt_out_and_large_buckets_split(spark, monkeypatch, hot, small):
+    """Texts that share a long passage, so that many unlike sets meet in its nodes, with near copies among them."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rng = random.Random(6)
+    shared = prose(rng, 40, 5000)
+    bases = [shared + " " + prose(rng, 80, 5000) for _ in range(150)]
+    docs = list(enumerate(bases + [near(rng, b, 4) for b in bases[:40]]))
+    want = pairs_by_hand(docs)
+    got = expanded(jaccard.near(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got <= want and len(got) >= jaccard.RECALL * len(want) > 30
 
 
 def test_odd_documents(spark):
     docs = [(r[0], r[1]) for r in odd_rows() if r[0] != 0]
     df = odd(spark).where("doc_id IS NULL OR doc_id <> 0")
-    assert all_pairs(jaccard.join(df), docs) == pairs_by_hand(docs) == {(1, 20), (8, 9), (10, 11), (11, 12)}
-    assert all_pairs(jaccard.join(df, threshold=0.7), docs) == pairs_by_hand(docs, 0.7) == {(1, 20), (8, 9)}
-    found = {tuple(r.doc_ids) for r in jaccard.join(odd(spark)).collect()}
-    assert any(set(g) >= {1, 20} for g in found)  # 0 has one text that equals 1's
+    assert expanded(jaccard.near(df)) == pairs_by_hand(docs) == {(1, 20), (8, 9), (10, 11), (11, 12)}
+    found = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(df, threshold=0.7).collect()}
+    assert found == classes_by_hand({d for d, _ in docs if d is not None}, pairs_by_hand(docs, 0.7))
+    every = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(odd(spark)).collect()}
+    assert every[0] == every[1] == every[20] == (0, 2)  # 0 has one text that equals 1's
+    assert every[2] == (2, 0) and every[3] == (3, 0) and None not in every
 
 
 def test_deduplication_keeps_one_of_each_group(spark):
@@ -86,7 +109,7 @@ def test_deduplication_keeps_one_of_each_group(spark):
 
 
 def test_empty(spark):
-    assert jaccard.join(empty(spark)).count() == 0 and jaccard.deduplicate(empty(spark)).count() == 0
+    assert jaccard.classes(empty(spark)).count() == 0 and jaccard.deduplicate(empty(spark)).count() == 0
 
 
 def test_components(spark):
@@ -106,3 +129,9 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_runs_reach_the_recall():
+    assert jaccard.runs_needed(0.9) < jaccard.runs_needed(0.99) < 20
+    with pytest.raises(ValueError):
+        jaccard.runs_needed(1 - 1e-9)

@@ -48,9 +48,9 @@ def test_search_equals_brute_force(spark, monkeypatch, k, block, slack):
     rows = odd(vectors())
     best = millionths(rows)
     got = {}
-    for r in topk.search(spark.createDataFrame(rows, SCHEMA), k).collect():
+    for r in topk.search(spark.createDataFrame(rows, SCHEMA), k, 1 if k == 3 else topk.EVERY).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.neighbor_id, round(r.score * 1e6))
-    queries = {a for a, _ in best}
+    queries = {a for a, _ in best if k == 3 or a % topk.EVERY == 0}
     assert set(got) == queries
     for q in queries:
         want = sorted(((-s, b) for (a, b), s in best.items() if a == q))[:k]
@@ -61,7 +61,7 @@ def test_search_equals_brute_force(spark, monkeypatch, k, block, slack):
 
 def test_ties_go_to_the_smaller_id(spark):
     rows = [(i, [1.0, 0.0], 0, "", "", "") for i in (9, 4, 2, 7)]
-    got = sorted((r.query_id, r["rank"], r.neighbor_id) for r in topk.search(spark.createDataFrame(rows, SCHEMA), 2).collect())
+    got = sorted((r.query_id, r["rank"], r.neighbor_id) for r in topk.search(spark.createDataFrame(rows, SCHEMA), 2, 1).collect())
     assert got == [(2, 1, 4), (2, 2, 7), (4, 1, 2), (4, 2, 7), (7, 1, 2), (7, 2, 4), (9, 1, 2), (9, 2, 4)]
 
 
@@ -71,17 +71,52 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, least, block):
     monkeypatch.setattr(ego, "SHORT", 8)
     rows = odd(vectors(seed=1))
     want = {(a, b): s for (a, b), s in millionths(rows).items() if a < b and s >= round(least * 1e6)}
-    got = {(r.id_a, r.id_b): round(r.similarity * 1e6) for r in ego.near_duplicates(spark.createDataFrame(rows, SCHEMA), least).collect()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    member, pairs = ego.near_duplicates(df, least)
+    groups = {}
+    for r in member.collect():
+        groups.setdefault(r.node, set()).add(r.id)
+    got = {(x, y): 1_000_000 for ids in groups.values() for x in ids for y in ids if x < y}
+    for r in pairs.collect():
+        for x in groups[r.a]:
+            for y in groups[r.b]:
+                got[min(x, y), max(x, y)] = max(got.get((min(x, y), max(x, y)), 0), round(r.similarity * 1e6))
+    got = {pair: s for pair, s in got.items() if pair[0] != pair[1]}
     assert want
     close(got, want)
 
 
-@pytest.mark.parametrize("operator", [topk.search, ego.near_duplicates])
-def test_empty_and_single(spark, operator):
+def test_classes_of_vectors(spark):
+    rows = [r for r in vectors(seed=1)]
+    pairs = [(a, b) for (a, b), s in millionths(rows).items() if a < b and s >= 900_000]
+    name, links = {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        low, high = sorted((name[a], name[b]))
+        name = {d: low if c == high else c for d, c in name.items()}
+    got = {r.vec_id: (r.class_id, r.links) for r in ego.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: (name[d], links[d]) for d in name} and max(links.values()) >= 10
+
+
+def test_many_vectors_of_one_id(spark, monkeypatch):
+    """An id whose vectors fill blocks counts once, by its best, and leaves room for the others."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(f) for f in rng.normal(size=6)], 0, "", "", "") for i in range(60)] + [(7, [float(f) for f in rng.normal(size=6)], 0, "", "", "") for _ in range(50)]
+    best = millionths(rows)
+    for q in (0, 20, 40):
+        want = sorted(((-s, b) for (a, b), s in best.items() if a == q))[:5]
+        got = [(r.neighbor_id, round(r.score * 1e6)) for r in topk.search(spark.createDataFrame(rows, SCHEMA), 5).where(f"query_id = {q}").orderBy("rank").collect()]
+        assert [b for b, _ in got] == [b for _, b in want]
+
+
+def test_empty_and_single(spark):
     one = spark.createDataFrame(vectors(1 + 90)[:1], SCHEMA)
-    assert operator(one.limit(0)).count() == 0 and operator(one).count() == 0
     nothing = spark.createDataFrame([(1, None, 0, "", "", ""), (2, [], 0, "", "", "")], SCHEMA)
-    assert operator(nothing).count() == 0
+    for table in (one.limit(0), one, nothing):
+        assert topk.search(table).count() == 0 and ego.near_duplicates(table)[1].count() == 0
+    assert [tuple(r) for r in ego.classes(one).collect()] == [(0, 0, 0)] and ego.classes(nothing).count() == 0
 
 
 def test_least_is_checked(spark):
