@@ -20,9 +20,11 @@ from tarn.llm import common
 
 #: Labels with which a segment is a literal whatever its share: the least for which the test behind ``alike`` holds.
 TESTED = 5
-#: Share of a node's URLs that a literal with fewer labels needs; levels of the tree (the rest of a path is one segment); z below which branches
-#: are alike; weight of the parent's purity in labels; purity that a template needs.
-SHARE, DEPTH, ALIKE, SMOOTHING, LEAST = 1 / 16, 8, 1.96, 8.0, 0.4
+#: Share of a node's URLs that a literal with fewer labels needs; z below which branches are alike; weight of the parent's
+#: purity in labels; purity that a template needs.
+SHARE, ALIKE, SMOOTHING, LEAST = 1 / 16, 1.96, 8.0, 0.4
+#: Distinct paths, counted, that tasks finish host by host once no more of them reach a level; above it, levels are joins.
+FEW = 50_000
 #: Words of a host's name by which its pages are labelled bad.
 BAD_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
 _KIND = r"\.(html?|php|aspx?|jsp|xml|json|pdf|txt|md)$"
@@ -41,8 +43,6 @@ def segments(url: Column) -> Column:
     rest = F.regexp_replace(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*|#.*$", "")
     parts = F.filter(F.split(F.regexp_extract(rest, r"^([^?]*)", 1), "/"), lambda s: s != "")
     parts = F.transform(parts, lambda s: F.regexp_replace(F.lower(s), r"[0-9]+", "{n}"))
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 20), "/")))
-    parts = F.when(F.size(parts) > DEPTH, deep).otherwise(parts)
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     names = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(query, "[&;]"), lambda s: s != ""), lambda s: F.regexp_replace(F.lower(s), "=.*$", ""))))
     return F.when(F.size(names) > 0, F.concat(parts, F.array(F.concat(F.lit("?"), F.array_join(names, "&"))))).otherwise(parts)
@@ -56,21 +56,61 @@ def _wildcard(segment: Column) -> Column:
 
 def generalised(paths: DataFrame, share: float = SHARE) -> DataFrame:
     """``paths`` (host, path array, n, good, bad, ...) with ``template``: the path after rare segments that labels say too little
-    of have become wildcards."""
-    depth = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    now = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(min(depth, DEPTH + 1)):
-        now = now.withColumn("segment", F.get("path", F.lit(level))).withColumn("node", F.array_join("template", "/"))
-        taken = now.where("segment IS NOT NULL").groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
+    of have become wildcards.
+
+    A level at a time, for paths that reach it; when a count shows that few are left, however deep, they are finished below
+    their nodes by the same rule.
+    """
+    now, done, level = paths.withColumn("template", F.array().cast("array<string>")).withColumn("wild", F.transform("path", _wildcard)), None, 0
+    while True:
+        ended = now.where(F.size("path") <= level)
+        done = ended if done is None else done.unionByName(ended)
+        now = now.where(F.size("path") > level)
+        left = now.count()
+        if not left:
+            break
+        now = now.withColumn("node", F.array_join("template", "/"))
+        if left <= FEW:
+            done = done.unionByName(now.groupBy("host", "node").applyInArrow(_finish(level, share), now.schema).drop("node"))
+            break
+        now = now.withColumn("segment", F.get("path", F.lit(level)))
+        taken = now.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum(F.col("good") + F.col("bad")).alias("labels"))
         total = taken.groupBy("host", "node").agg(F.sum("n").alias("total"))
         literal = taken.join(total, ["host", "node"]).where((F.col("n") >= F.lit(share) * F.col("total")) | (F.col("labels") >= TESTED))
         literal = common.staged(literal.select("host", "node", "segment", F.lit(True).alias("literal")), "literals")
-        hint = F.broadcast(literal) if literal.count() <= common.BROADCAST_ROWS else literal
-        now = now.join(hint, ["host", "node", "segment"], "left")
-        chosen = F.when(F.col("literal"), F.col("segment")).otherwise(_wildcard(F.col("segment")))
-        now = now.withColumn("template", F.when(F.col("segment").isNotNull(), F.concat("template", F.array(chosen))).otherwise(F.col("template"))).drop("literal", "segment", "node")
-        now = common.staged(now, "level")
-    return now
+        now = common.join_small(now, literal, ["host", "node", "segment"], "left")
+        chosen = F.when(F.col("literal"), F.col("segment")).otherwise(F.get("wild", F.lit(level)))
+        now = common.staged(now.withColumn("template", F.concat("template", F.array(chosen))).drop("literal", "segment", "node"), "level")
+        level += 1
+    return done.drop("wild")
+
+
+def _finish(level: int, share: float):
+    """The rest of the templates of paths below one node."""
+
+    def finish(below: pa.Table) -> pa.Table:
+        path, wild, template = (below[c].to_pylist() for c in ("path", "wild", "template"))
+        n, labels = below["n"].to_pylist(), [g + b for g, b in zip(below["good"].to_pylist(), below["bad"].to_pylist())]
+        stack = [(list(range(len(path))), level)]
+        while stack:
+            inside, depth = stack.pop()
+            inside = [i for i in inside if len(path[i]) > depth]
+            counts: dict[str, list[int]] = {}
+            for i in inside:
+                of = counts.setdefault(path[i][depth], [0, 0])
+                of[0], of[1] = of[0] + n[i], of[1] + labels[i]
+            total = sum(c[0] for c in counts.values())
+            branches: dict[str, list[int]] = {}
+            for i in inside:
+                x = path[i][depth]
+                name = x if counts[x][0] >= share * total or counts[x][1] >= TESTED else wild[i][depth]
+                template[i].append(name)
+                branches.setdefault(name, []).append(i)
+            stack += [(of, depth + 1) for of in branches.values()]
+        at = below.schema.get_field_index("template")
+        return below.set_column(at, below.schema.field(at), pa.array(template, below.schema.field(at).type))
+
+    return finish
 
 
 def alike(a: tuple[int, int], b: tuple[int, int], z: float = ALIKE) -> bool:

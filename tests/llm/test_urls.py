@@ -24,7 +24,7 @@ def marks(spark, rows):
         ("http://user:p@e.org./", "e.org", []),
         ("//cdn.e.org/x", "cdn.e.org", ["x"]),
         ("http://e.org?b=1;a=2", "e.org", ["?a&b"]),
-        ("http://e.org/" + "/".join("abcdefghij"), "e.org", ["a", "b", "c", "d", "e", "f", "g", "h/i/j"]),
+        ("http://e.org/" + "/".join("abcdefghij"), "e.org", list("abcdefghij")),
         ("mailto:x@e.org", None, None),
         ("", None, None),
         (None, None, None),
@@ -58,6 +58,7 @@ def judged_by_hand(rows, good):
 
         def shape(inside, depth):
             counts = Counter(s[depth] for _, s in inside if len(s) > depth)
+            labelled = Counter(s[depth] for i, s in inside if len(s) > depth and i in good)
             total = sum(counts.values())
             groups = defaultdict(list)
             for i, s in inside:
@@ -65,7 +66,7 @@ def judged_by_hand(rows, good):
                     x = s[depth]
                     kind = re.search(urls._KIND, x)
                     wild = "?*" if x.startswith("?") else x if re.match(r"^\{n\}(\.\w+)?$", x) else "{*}" + (kind[0] if kind else "")
-                    name = x if counts[x] >= urls.SHARE * total else wild
+                    name = x if counts[x] >= urls.SHARE * total or labelled[x] >= urls.TESTED else wild
                     shaped.setdefault(i, []).append(name)
                     groups[name].append((i, s))
             for g in groups.values():
@@ -93,7 +94,9 @@ def many_urls():
     return rows, good
 
 
-def test_judging_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [0, urls.FEW])
+def test_judging_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(urls, "FEW", few)
     rows, good = many_urls()
     got = {r.page_id: r for r in urls.judge(pages(spark, rows), marks(spark, list(good.items()))).collect()}
     want = judged_by_hand(rows, good)
@@ -103,6 +106,15 @@ def test_judging_equals_brute_force(spark):
     assert {got[i].host for i in rejected} == {"c.net"}
 
 
+def test_deep_paths(spark, monkeypatch):
+    """The tree has as many levels as paths have segments: here outcomes differ at the last of twenty."""
+    rows = [(i, "http://deep.org/" + "/".join("abcdefghijklmnopqrs") + f"/{'bad' if i % 2 else 'fine'}/{i}") for i in range(200)]
+    good = [(i, "/bad/" not in u) for i, u in rows]
+    for few in (150, urls.FEW):
+        monkeypatch.setattr(urls, "FEW", few)
+        assert {r.page_id for r in urls.judge(pages(spark, rows), marks(spark, good)).where("keep").collect()} == {i for i, fine in good if fine}
+
+
 def test_small_sections_are_judged_by_their_labels(spark):
     rows = [(i, f"http://big.org/{'news' if i % 50 else 'casino'}/{i}") for i in range(2000)]  # casino: 2 % of the pages
     rows += [(2000 + i, f"http://even.org/{chr(97 + i % 20)}/{i}") for i in range(800)]  # 20 sections of 5 %, the last is bad
