@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import common, graph
+from tarn.llm.packing import BLOCKS_A_TASK
 from tarn.llm.vectors import SCALE, opened, packed, scores, unit, usable
 
 LEAST, AXES, BLOCK, SHORT = 0.9, 4, 2048, 256
@@ -133,6 +134,12 @@ def _pairs(rows: DataFrame, size: int, least: float) -> DataFrame:
                 first, last = int(np.floor(low[0] / eps)), int(np.floor(high[0] / eps))
                 yield pa.record_batch([pa.array([row["block"]]), pa.array([first]), pa.array([last]), pa.array([low.tolist()]), pa.array([high.tolist()])], ["block", "first", "last", "low", "high"])
 
+    # blocks get consecutive numbers in the order of the sequence; the driver sees one count for each partition
+    counts = blocks.groupBy(F.expr(f"block div {BLOCKS_A_TASK}").alias("part")).count().orderBy("part").collect()
+    before = rows.sparkSession.createDataFrame([(r.part, sum(x["count"] for x in counts[:i])) for i, r in enumerate(counts)] or [(0, 0)], "part long, before long")
+    number = F.shiftright(F.col("before") + F.col("block") % BLOCKS_A_TASK, SQUARE.bit_length() - 1)
+    place = common.staged(blocks.select("block", F.expr(f"block div {BLOCKS_A_TASK}").alias("part")).join(F.broadcast(before), "part").select("block", number.alias("place")), "numbers")
+
     box = common.staged(blocks.mapInArrow(boxes, "block long, first long, last long, low array<double>, high array<double>"), "boxes")
     left = box.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
     right = box.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence("first", "last")).alias("cell"))
@@ -153,8 +160,8 @@ def _pairs(rows: DataFrame, size: int, least: float) -> DataFrame:
         return pa.concat_tables(out)
 
     # a square of SQUARE by SQUARE neighbouring blocks is one group: its blocks travel once, whatever pairs of them may meet
-    side = lambda c: F.shiftright(c, SQUARE.bit_length() - 1)
-    meet = common.staged(meet.select(side("a").alias("row"), side("b").alias("column"), "a", "b"), "meet")
+    meet = common.join_small(meet, place.withColumnsRenamed({"block": "a", "place": "row"}), "a")
+    meet = common.staged(common.join_small(meet, place.withColumnsRenamed({"block": "b", "place": "column"}), "b").select("row", "column", "a", "b"), "meet")
     key = ["row", "column"]
     wanted = meet.select(*key, F.col("a").alias("block")).union(meet.select(*key, F.col("b").alias("block"))).distinct()
     held = common.staged(wanted, "wanted").join(blocks, "block").select(*key, "block", "ids", "vectors")
