@@ -9,8 +9,7 @@ n + 1 predicted tokens in either model, and its score is target loss less backgr
 
 Counts are exact over the whole corpus and never gathered in one place: each block of texts sends its distinct words, and
 then its distinct bigrams, packed by hash, to the partition that adds them up over all blocks, and gets the totals back in the
-same order. Only sums over the vocabulary come to the driver. ``SQL`` still wants a word once in a million words as well: it
-gives the same rows up to two million words, and fewer words above.
+same order. Only sums over the vocabulary come to the driver.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ from tarn.llm.packing import BLOCKS_A_TASK, WIRE, WIRE_ARROW, pack, squeeze, unp
 
 #: Weight of the bigram and pseudo-count of each word.
 LAMBDA, ALPHA = 0.5, 0.1
-#: Least count of a word of the vocabulary, and the share of the corpus that it needs besides: none.
-LEAST, SHARE = 2, 0.0
+#: Least count of a word of the vocabulary.
+LEAST = 2
 BLOCK = 8_000_000
 
 
@@ -245,14 +244,14 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     some = texts.where(F.col("text").rlike("[0-9A-Za-z_\\x{80}-\\x{10FFFF}]")).agg(F.count("*").alias("n"), F.count("good").alias("t")).first()
     blocks = common.staged(texts.mapInArrow(common.trimmed(_words(buckets)), WIRE), "blocks")
     counted = blocks.where("key < 0").repartition(partitions, "key").sortWithinPartitions("key")
-    words = common.staged(counted.mapInArrow(_sum_words, WIRE), "words")
+    words = common.staged(counted.mapInArrow(common.trimmed(_sum_words), WIRE), "words")
     known = np.zeros(5, dtype=np.int64)
     for row in words.where("bucket = -3").select("a").collect():  # a row a bucket
         known += np.frombuffer(row.a, dtype="<i8")
 
     of_block, told = (df.where("key >= 0").repartition(partitions, "key").groupBy("key") for df in (blocks, words))
     wire = of_block.cogroup(told).applyInArrow(_bigrams(buckets), WIRE).repartition(partitions, "key")
-    sums = wire.sortWithinPartitions("key").mapInArrow(_sum_bigrams, WIRE).repartition(partitions, "key")
+    sums = wire.sortWithinPartitions("key").mapInArrow(common.trimmed(_sum_bigrams), WIRE).repartition(partitions, "key")
     scored = wire.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(known, np.array([some.n, some.t]), buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
     return scored.select(
         F.when(F.col("row_id") != missing, F.col("row_id")).alias("doc_id"),
@@ -274,7 +273,7 @@ WITH target AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_
 texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\x{80}-\x{10FFFF}]+') AS w, (doc_id IN (SELECT doc_id FROM target))::INT AS good FROM documents),
 long AS (SELECT doc_id, good, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM texts),
 words AS (SELECT w, count(*) AS n, sum(good) AS t FROM long GROUP BY w),
-known AS (SELECT w FROM words WHERE n >= greatest(2, ceil((SELECT count(*) FROM long) * 1e-6))),
+known AS (SELECT w FROM words WHERE n >= 2),
 named AS (SELECT doc_id, good, i, n, CASE WHEN k.w IS NULL THEN '<unk>' ELSE l.w END AS w FROM long l LEFT JOIN known k USING (w)),
 uni AS (
   SELECT w, count(*) AS n, sum(good) AS t FROM named GROUP BY w

@@ -42,7 +42,7 @@ def losses_by_hand(rows, good_ids):
     """n_tokens, target and background loss of each row, from counts in dictionaries."""
     texts = [(d, words(t or "")) for d, t in rows]
     counts = Counter(w for _, ws in texts for w in ws)
-    least = max(lm.LEAST, math.ceil(sum(counts.values()) * lm.SHARE))
+    least = lm.LEAST
     names = [(d, [w if counts[w] >= least else None for w in ws]) for d, ws in texts]
     size = len({w for w in counts if counts[w] >= least}) + 2
     out = []
