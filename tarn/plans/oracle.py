@@ -32,11 +32,17 @@ bm25 AS (
 
 _ONE = f"SELECT 0 AS query_id, '{ASKED}' AS query"
 _MANY = "SELECT item_id AS query_id, text AS query FROM benchmark"
-#: Chunks are cut off at 16 * TOP by score and number, then documents are ranked by score and id as text.
-_RANKED = f"""
-chunked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM bm25) WHERE r <= {16 * TOP}),
+
+
+def _ranked(limit: int) -> str:
+    """CTEs up to ``ranked``: chunks are cut off at 16 * limit by score and number, then documents are ranked by score and id as text."""
+    return f"""
+chunked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM bm25) WHERE r <= {16 * limit}),
 ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS position FROM chunked)"""
 
+
+_RANKED = _ranked(TOP)
+
 _NEAREST = f"""
 SELECT query_id, position, vec_id, score FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS position FROM (
@@ -65,7 +71,7 @@ _ADJUSTED = "SELECT doc_id, round((doc_id % 97) / 97.0::DOUBLE * CASE WHEN quali
 _PART = "length({0}) || ':' || {0}"
 _STATUS = """status AS (
   SELECT relative_path, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN quality = 0 OR toxic = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM corpus c LEFT JOIN labels l ON l.doc_id = c.id
-  UNION ALL SELECT * FROM (VALUES ('gone/a.md', 'absent'), ('gone/b.md', 'absent')))"""
+  UNION ALL SELECT 'gone/' || item_id || '.md', 'absent' FROM benchmark)"""
 
 SQL: dict[str, str] = {
     "tokenize_documents": f"SELECT doc_id, greatest(len(w), 1) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_T.format('text')} AS w FROM documents)",
@@ -88,8 +94,8 @@ SELECT doc_id, round(sum(CASE WHEN p = 1 THEN s ELSE 0 END) + 0.1::DOUBLE * sum(
   SELECT conv_id AS doc_id, turn, length(text) / 100.0::DOUBLE AS s, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS p FROM conversations)
 WHERE p <= 3 GROUP BY doc_id""",
     "rrf_fuse": """
-WITH a AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier QUALIFY r <= 40),
-b AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5(s_name) DESC, s_suppkey) AS r FROM supplier QUALIFY r <= 40)
+WITH a AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier),
+b AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY md5(s_name) DESC, s_suppkey) AS r FROM supplier)
 SELECT coalesce(a.id, b.id) AS doc_id, round(coalesce(1 / (60.0::DOUBLE + a.r), 0) + coalesce(1 / (60.0::DOUBLE + b.r), 0), 9) AS score, CASE WHEN a.id IS NULL THEN 2 ELSE 1 END AS from_list FROM a FULL JOIN b ON a.id = b.id""",
     "hashing_embedding": f"WITH {_hashed('benchmark', 'item_id', 'text', 'v')} SELECT item_id, bucket, round(value, 5) AS value FROM v WHERE value <> 0",
     "hybrid_search": f"""
@@ -107,9 +113,11 @@ lists AS (
 fused AS (SELECT query_id, id::VARCHAR AS doc_id, sum(1 / (60.0::DOUBLE + r)) AS s FROM lists GROUP BY query_id, id)
 SELECT query_id, doc_id, round(s, 6) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= {TOP}""",
     "heuristic_rerank": f"""
-WITH {_CORPUS}, asked AS (SELECT {_T.format(f"'{ASKED}'")} AS tokens, {_NORMAL.format(f"'{ASKED}'")} AS phrase)
-SELECT doc_id, round(0.35::DOUBLE / (61 + id) + 0.65::DOUBLE * ({_HEURISTIC}), 6) AS score
-FROM (SELECT * FROM corpus WHERE content IS NOT NULL ORDER BY id LIMIT {POOL}), asked""",
+WITH {_bm25(_MANY)}, {_ranked(POOL)},
+hits AS (
+  SELECT query_id, doc_id, 1 / (60.0::DOUBLE + position) AS s, title, relative_path, content, {_T.format("query")} AS tokens, {_NORMAL.format("query")} AS phrase
+  FROM ranked JOIN corpus USING (doc_id) JOIN asked USING (query_id) WHERE position <= {POOL})
+SELECT query_id, doc_id, round(0.35::DOUBLE * s + 0.65::DOUBLE * ({_HEURISTIC}), 6) AS score FROM hits""",
     "metadata_multiplier": _ADJUSTED,
     "min_score_cut": f"SELECT * FROM ({_ADJUSTED}) WHERE score >= 0.9",
     "json_metadata_filter": "SELECT event_id FROM events WHERE json_extract(props, '$.k')::DOUBLE = 1",
@@ -118,7 +126,7 @@ WITH {_CORPUS}
 SELECT doc_id, sha256(concat_ws('|', {_PART.format('relative_path')}, '-', {_PART.format('title')}, '-', {_PART.format("coalesce(content, '')")}, {_PART.format('metadata_json')})) AS fingerprint, sha256(coalesce(content, '')) AS content_hash FROM corpus""",
     "incremental_status": f"WITH {_CORPUS}, {_STATUS} SELECT relative_path, status FROM status",
     "incremental_stats": f"WITH {_CORPUS}, {_STATUS} SELECT status, count(*) AS n FROM status GROUP BY status",
-    "removed_paths": "SELECT 'gone/a.md' AS relative_path",
+    "removed_paths": "SELECT 'gone/' || item_id || '.md' AS relative_path FROM benchmark WHERE item_id % 2 = 0",
     "benchmark_eval": f"""
 WITH {_bm25(_MANY)}, {_RANKED}
 SELECT a.query_id, r.doc_id, coalesce(contains(c.content, a.query), false) AS passed FROM asked a LEFT JOIN (SELECT * FROM ranked WHERE position = 1) r USING (query_id) LEFT JOIN corpus c USING (doc_id)""",

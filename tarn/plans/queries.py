@@ -159,7 +159,7 @@ def _two_lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     b = Window.partitionBy("query_id").orderBy(F.desc(F.md5(F.col("name").cast("binary"))), "doc_id")
     lists = []
     for n, w in enumerate((a, b)):
-        lists.append(s.withColumn("position", F.row_number().over(w)).where("position <= 40").select("query_id", "doc_id", "position", F.lit(n + 1).alias("chunk_id"), F.lit(0.0).alias("chunk_score")))
+        lists.append(s.withColumn("position", F.row_number().over(w)).select("query_id", "doc_id", "position", F.lit(n + 1).alias("chunk_id"), F.lit(0.0).alias("chunk_score")))
     return lists
 
 
@@ -191,15 +191,18 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def _plain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a hit of one query, with a score from its length."""
-    c = corpus_chunks(spark, sf_dir)
-    return c.select(F.lit(0).alias("query_id"), F.lit(ASKED).alias("query"), "doc_id", "relative_path", "title", "heading_path", "metadata_json", T.excerpt(F.col("chunk_text")).alias("excerpt"), (F.lit(1.0) / (60 + F.col("chunk_id") + 1)).alias("score"))
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first POOL documents by terms for each item of ``benchmark``, with what reranking reads."""
+    queries = _benchmark(spark, sf_dir)
+    n = queries.count()
+    found = _lexical(_bm25(spark, sf_dir, queries), POOL).select("query_id", "doc_id", (1 / (F.lit(rank.RRF) + F.col("position"))).alias("score"))
+    c = corpus_chunks(spark, sf_dir).select("doc_id", "relative_path", "title", "heading_path", "metadata_json", T.excerpt(F.col("chunk_text")).alias("excerpt"))
+    return c.join(rank.small(found, n * POOL), "doc_id").join(rank.small(queries, n), "query_id")
 
 
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = rank.heuristic_score(F.col("query"), F.col("title"), F.col("relative_path"), F.col("heading_path"), F.col("excerpt"))
-    return rank.rerank(_plain_hits(spark, sf_dir), POOL, F.col("score") * 0.35 + score * 0.65).select("doc_id", F.round("score", 6).alias("score"))
+    return rank.rerank(_pooled(spark, sf_dir), POOL, F.col("score") * 0.35 + score * 0.65).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def embedding_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ def embedding_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = T.document_for_reranking(*[F.col(c) for c in ("relative_path", "title", "heading_path", "excerpt", "metadata_json")])
     near = F.greatest(E.cosine(E.embedding(T.query_for_embedding(F.col("query")), backend), E.embedding(told, backend)), F.lit(0.0))
     heuristic = rank.heuristic_score(F.col("query"), F.col("title"), F.col("relative_path"), F.col("heading_path"), F.col("excerpt"))
-    return rank.rerank(_plain_hits(spark, sf_dir), POOL, F.col("score") * 0.2 + (near * 0.8 + heuristic * 0.2) * 0.8).select("doc_id", F.round("score", 6).alias("score"))
+    return rank.rerank(_pooled(spark, sf_dir), POOL, F.col("score") * 0.2 + (near * 0.8 + heuristic * 0.2) * 0.8).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,12 +238,14 @@ def doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _before(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents as the cache (those of bad quality with another text, toxic ones deleted), all documents as input."""
+    """Labelled documents as the cache (those of bad quality with another text, toxic ones deleted) with the items of
+    ``benchmark`` as documents that are gone (odd ones deleted already), all documents as input."""
     now = with_ids(as_input(corpus(spark, sf_dir)), "root").select("doc_id", "relative_path", "fingerprint")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "toxic")
     known = now.join(labels, "doc_id")
     cached = known.select("relative_path", F.when(F.col("quality") == 0, F.lit("old")).otherwise(F.col("fingerprint")).alias("fingerprint"), (F.col("toxic") == 1).alias("is_deleted"))
-    gone = spark.createDataFrame([("gone/a.md", "x", False), ("gone/b.md", "y", True)], "relative_path string, fingerprint string, is_deleted boolean")
+    items = table(spark, sf_dir, "benchmark")
+    gone = items.select(F.concat(F.lit("gone/"), F.col("item_id").cast("string"), F.lit(".md")).alias("relative_path"), F.lit("x").alias("fingerprint"), (F.col("item_id") % 2 == 1).alias("is_deleted"))
     return now, cached.unionByName(gone)
 
 
