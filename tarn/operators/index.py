@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,6 +80,13 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg(F.size(T.tokenize(F.col("chunk_text")))), F.lit(0.0)).alias("avg_chunk_length"))
 
 
+def stats_of(chunks: DataFrame, posted: DataFrame) -> DataFrame:
+    """``corpus_stats`` from postings."""
+    tokens = posted.agg(F.sum("tf").alias("tokens"))
+    average = F.when(F.col("n_chunks") > 0, F.coalesce("tokens", F.lit(0)) / F.col("n_chunks")).otherwise(F.lit(0.0))
+    return chunks.agg(F.count("*").alias("n_chunks")).crossJoin(tokens).select("n_chunks", average.alias("avg_chunk_length"))  # one row each
+
+
 CHUNK_COLUMNS = ["chunk_id", "doc_id", *[part.strip().split(" ")[0] for part in FIELDS.split(",")]]
 DOCUMENT_COLUMNS = ["doc_id", "source_root_id", "source_path", "relative_path", "canonical_url", "title", "summary", "content_hash", "chunk_count", "metadata_json"]
 
@@ -122,15 +130,16 @@ class IndexFolder:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.manifest()['version']}/{name}")
 
-    def write(self, tables: dict[str, DataFrame], options: BuildOptions, info: dict | None = None) -> dict:
+    def write(self, tables: dict[str, DataFrame | Callable], options: BuildOptions, info: dict | None = None) -> dict:
         """Write tables as a new version and make it current; versions before the last one are removed."""
         try:
             before = self.manifest()
         except FileNotFoundError:
             before = {}
         version = f"v-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
+        written = lambda name: self.spark.read.parquet(f"{self.path}/{version}/{name}")
+        for name, df in tables.items():  # a table that is made of others reads them as they were written
+            (df(written) if callable(df) else df).write.parquet(f"{self.path}/{version}/{name}")
         found = {"version": version, "previous": before.get("version"), "built_at": str(int(time.time())), "config": options.describe()} | (info or {})
         files.write_text(self.spark, f"{self.path}/CURRENT.json", json.dumps(found, sort_keys=True))
         if before.get("previous"):
@@ -141,16 +150,17 @@ class IndexFolder:
         df.write.parquet(f"{self.path}/{self.manifest()['version']}/{name}")
 
 
-def index_tables(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
-    """All tables of an index from documents with ids, chunks and vectors."""
+def index_tables(docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame | Callable]:
+    """All tables of an index from documents with ids, chunks and vectors; statistics come from the postings as written, so
+    that texts are cut into terms once."""
     posted = postings(chunks)
     return {
         "documents": document_rows(docs, chunks),
         "chunks": chunks.select(*CHUNK_COLUMNS),
         "vectors": vectors,
         "postings": posted.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"),
-        "term_stats": term_stats(posted),
-        "corpus_stats": corpus_stats(chunks),
+        "term_stats": lambda written: term_stats(written("postings")),
+        "corpus_stats": lambda written: stats_of(chunks, written("postings")),
     }
 
 

@@ -151,12 +151,13 @@ class Index:
 
     def finish(self, queries: DataFrame, fused: DataFrame, options: SearchOptions) -> DataFrame:
         documents = self.tables["documents"].select("doc_id", "relative_path", "canonical_url", "title", "summary", "metadata_json")
-        # the fused hits are few; documents and chunks are found by them
-        hits = documents.join(rank.small(fused), "doc_id")
+        # documents and chunks are found by the fused hits, of which each query has ``limit`` at most
+        most = queries.count() * options.limit
+        hits = documents.join(rank.small(fused, most), "doc_id")
         chunks = self.tables["chunks"].select("chunk_id", "excerpt", "heading_path", "char_start", "char_end")
-        hits = chunks.join(rank.small(hits), "chunk_id")
+        hits = chunks.join(rank.small(hits, most), "chunk_id")
         if options.reranker:
-            hits = self._reranked(queries, hits, options)
+            hits = self._reranked(rank.small(queries, most), hits, options)
         hits = rank.best_per_query(hits, options.kept, "relative_path")
         hits = rank.cut(rank.adjust(hits, options.numeric_multiplier), options.min_score)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "relative_path")
@@ -166,7 +167,7 @@ class Index:
 
     def _reranked(self, queries: DataFrame, hits: DataFrame, options: SearchOptions) -> DataFrame:
         pool = max(options.reranker.candidate_pool_size, options.kept)
-        hits = hits.join(rank.small(queries), "query_id")
+        hits = hits.join(queries, "query_id")
         heuristic = rank.heuristic_score(F.col("query"), F.col("title"), F.col("relative_path"), F.col("heading_path"), F.col("excerpt"))
         if options.reranker.kind == "heuristic-v1":
             return rank.rerank(hits, pool, F.col("score") * 0.35 + heuristic * 0.65)
