@@ -221,25 +221,26 @@ def spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_words: in
         raise ValueError("gram must be from 1 to least")
     spark = docs.sparkSession
     texts = texts_of(docs)
-    runs = texts.mapInArrow(common.trimmed(_runs(least, gram)), _RUNS)
-    owner, copies = Window.partitionBy("key"), Window.partitionBy("key", "cls")
-    cand = (
-        runs.withColumn("at", F.rank().over(copies.orderBy("doc_id", "start", "th")))  # repeated rows are one copy
-        .withColumn("last", F.max("doc_id").over(copies))
-        .withColumn("lo", F.min("doc_id").over(owner))
-        .withColumn("hi", F.max("doc_id").over(owner))
-        .where("lo <> hi")
-        .drop("lo", "hi")
-    )
-    cand = common.staged(cand, "runs")
-    total = cand.where("at = 1").agg(F.sum("n")).first()[0] or 0
+    runs = common.staged(texts.mapInArrow(common.trimmed(_runs(least, gram)), _RUNS), "runs")
+    # first copy and largest id of each class, then of each owner: added up before the shuffle, however hot an owner is
+    alike = runs.groupBy("key", "cls").agg(F.min(F.struct("doc_id", "start", "th")).alias("lead"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
+    alike = common.staged(alike.select("key", "cls", "lead.*", "last", "n"), "classes")
+    shared = alike.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("last").alias("hi")).where("lo <> hi").select("key")
+    cand = common.staged(common.join_small(alike, common.staged(shared, "owners"), "key", "left_semi"), "candidates")
+    total = cand.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_words))
-    leads = cand.where("at = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "cls", "start", "n", "last")).alias("runs"))
+    leads = cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "cls", "start", "n", "last")).alias("runs"))
     full = texts.join(leads.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "text", "runs")
     words = full.mapInArrow(common.trimmed(_contents(shards)), _WORDS).repartition(shards, "shard").sortWithinPartitions("shard")
     ranges = common.staged(words.mapInArrow(common.trimmed(_sorted(least, scratch_folder(spark), memory)), _RANGES), "ranges")
-    found = cand.join(ranges, ["key", "cls"]).select(
-        "doc_id", "th", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + (least - 1)).alias("stop"), (F.col("kept") & (F.col("at") == 1)).alias("first")
+    lead = cand.select("key", "cls", F.struct("doc_id", "start", "th").alias("lead"))
+    ranges = common.staged(common.join_small(lead, ranges, ["key", "cls"]), "placed")
+    found = common.join_small(runs, ranges, ["key", "cls"]).select(
+        "doc_id",
+        "th",
+        (F.col("start") + F.col("a")).alias("start"),
+        (F.col("start") + F.col("b") + (least - 1)).alias("stop"),
+        (F.col("kept") & (F.struct("doc_id", "start", "th") == F.col("lead"))).alias("first"),  # repeated rows are one copy
     )
     line = Window.partitionBy("doc_id", "th", "first").orderBy("start", "stop")
     before = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))

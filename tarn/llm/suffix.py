@@ -7,7 +7,7 @@ where suffixes belong they wait in a disk-backed priority queue, ordered by firs
 suffix the length of the prefix that it shares with the one before it: one more than the least shared length that the scan
 has passed since it last sent a suffix to that symbol. Scans work on whole queue blocks at a time, and large names are
 written as two symbols, so that there are few blocks. Arrays beyond ``memory`` bytes live in files under ``folder``. Recursion
-ends where the string of names is short enough for a sort by doubled prefixes in memory.
+ends where the string of names is no longer than a block; that is sorted by doubled prefixes in memory.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import numpy as np
 
 #: Names above this many are written as two symbols.
 ONE_SYMBOL = 256
-#: A string of names of this length at most is sorted in memory.
-IN_MEMORY = 1 << 20
+#: A string of names of this length at most, a block's worth, is sorted in memory: where recursion ends.
+IN_MEMORY = 1 << 15
 _FAN = 12
 _FAR = np.int32(2**31 - 1)
 
