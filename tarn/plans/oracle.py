@@ -34,11 +34,11 @@ _ONE = f"SELECT 0 AS query_id, '{ASKED}' AS query"
 _MANY = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
-def _ranked(limit: int) -> str:
+def _ranked(limit: int, digits: int = 6) -> str:
     """CTEs up to ``ranked``: chunks are cut off at 16 * limit by score and number, then documents are ranked by score and id as text."""
     return f"""
-chunked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM bm25) WHERE r <= {16 * limit}),
-ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::INT AS position FROM chunked)"""
+chunked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {digits}) DESC, id) AS r FROM bm25) WHERE r <= {16 * limit}),
+ranked AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, {digits}) DESC, doc_id)::INT AS position FROM chunked)"""
 
 
 _RANKED = _ranked(TOP)
@@ -73,6 +73,12 @@ _STATUS = """status AS (
   SELECT relative_path, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN quality = 0 OR toxic = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM corpus c LEFT JOIN labels l ON l.doc_id = c.id
   UNION ALL SELECT 'gone/' || item_id || '.md', 'absent' FROM benchmark)"""
 
+_STORED = "SELECT query_id, position AS rank, doc_id, round(1 / (60.0::DOUBLE + position), 6) AS score FROM ranked WHERE position <= "
+_HITS = f"""
+hits AS (
+  SELECT query_id, doc_id, 1 / (60.0::DOUBLE + position) AS s, title, relative_path, content, {_T.format("query")} AS tokens, {_NORMAL.format("query")} AS phrase
+  FROM ranked JOIN corpus USING (doc_id) JOIN asked USING (query_id) WHERE position <= {POOL})"""
+
 SQL: dict[str, str] = {
     "tokenize_documents": f"SELECT doc_id, greatest(len(w), 1) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_T.format('text')} AS w FROM documents)",
     "normalize_heuristic": f"SELECT doc_id, md5({_NORMAL.format('text')}) AS normal_md5 FROM documents",
@@ -113,11 +119,15 @@ lists AS (
 fused AS (SELECT query_id, id::VARCHAR AS doc_id, sum(1 / (60.0::DOUBLE + r)) AS s FROM lists GROUP BY query_id, id)
 SELECT query_id, doc_id, round(s, 6) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= {TOP}""",
     "heuristic_rerank": f"""
-WITH {_bm25(_MANY)}, {_ranked(POOL)},
-hits AS (
-  SELECT query_id, doc_id, 1 / (60.0::DOUBLE + position) AS s, title, relative_path, content, {_T.format("query")} AS tokens, {_NORMAL.format("query")} AS phrase
-  FROM ranked JOIN corpus USING (doc_id) JOIN asked USING (query_id) WHERE position <= {POOL})
+WITH {_bm25(_MANY)}, {_ranked(POOL)}, {_HITS}
 SELECT query_id, doc_id, round(0.35::DOUBLE * s + 0.65::DOUBLE * ({_HEURISTIC}), 6) AS score FROM hits""",
+    "stored_lexical": f"WITH {_bm25(_MANY)}, {_ranked(TOP, 12)} {_STORED} {TOP}",
+    "stored_filtered": f"WITH {_bm25(_MANY, "lang = 'en' AND starts_with(relative_path, 'src1/')")}, {_ranked(TOP, 12)} {_STORED} {TOP}",
+    "stored_reranked": f"""
+WITH {_bm25(_MANY)}, {_ranked(TOP, 12)}, {_HITS},
+scored AS (SELECT query_id, doc_id, relative_path, 0.35::DOUBLE * s + 0.65::DOUBLE * ({_HEURISTIC}) AS score FROM hits)
+SELECT query_id, rank, doc_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relative_path)::INT AS rank FROM scored) WHERE rank <= {TOP}""",
     "metadata_multiplier": _ADJUSTED,
     "min_score_cut": f"SELECT * FROM ({_ADJUSTED}) WHERE score >= 0.9",
     "json_metadata_filter": "SELECT event_id FROM events WHERE json_extract(props, '$.k')::DOUBLE = 1",

@@ -131,6 +131,7 @@ class Index:
 
     def lexical_list(self, queries: DataFrame, options: SearchOptions, allowed: DataFrame | None) -> DataFrame:
         scored = rank.bm25(rank.query_terms(queries), self._restricted("postings", allowed), self.tables["term_stats"], self.n_chunks, self.average)
+        scored = scored.withColumn("score", F.round("score", 12))  # as for vectors: the order of a sum decides no tie
         return rank.by_document(rank.best_per_query(scored, 2 * options.limit, "chunk_id"), options.limit)
 
     def search_many(self, queries: DataFrame, options: SearchOptions | None = None, **given: Any) -> DataFrame:

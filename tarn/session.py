@@ -30,6 +30,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return ship(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); on one machine, where none is set, a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where if "://" in where or where.startswith("file:") else "file://" + where
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tarn-")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source to the executors once per application, so that Python workers can import it anywhere.
 
