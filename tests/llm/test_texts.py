@@ -6,12 +6,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from fixtures import SCHEMA, empty, labels, odd, odd_rows, prose, words
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, common, lm, mixing, quality
+from tarn.llm import bpe, common, lm, mixing, quality, textvec
 
 
 def parquet(df, tmp_path, name):
@@ -250,3 +251,39 @@ def test_lm_sql(spark, tmp_path):
     rows = [r for r in {r[0]: r for r in odd_rows() if r[0] is not None}.values()]
     docs, marks = spark.createDataFrame(rows, SCHEMA), labels(spark)
     same(lm.score(docs, lm.target_of(marks)), in_duckdb(tmp_path, lm.SQL, documents=docs, labels=marks))
+
+
+# drawn rows, and texts in pieces
+
+
+def test_drawn_rows_equal_brute_force(spark):
+    rng = random.Random(12)
+    docs = [(i, prose(rng, rng.randint(20, 60), 60) if i % 3 else " ".join(rng.choice(["buy", "now", "!!!", "CHEAP", "win"]) for _ in range(40))) for i in range(240)] + [(500, None), (501, "")]
+    marks = [(i, int(i % 3 > 0), int(i % 17 == 0)) for i in range(160)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    fits = {r.doc_id: r.fits for r in quality.label_sample(known).collect()}
+    counts = {d: Counter(quality.features(pa.array([t], pa.string()))[0].tolist()) for d, t in docs}
+    fine = {d for d, q, t in marks if q == 1 and t == 0}
+    raw, target = sum(counts.values(), Counter()), sum((counts[d] for d in fine if fits[d]), Counter())
+    scale, s = sum(target.values()) / sum(raw.values()), quality.SMOOTHING
+    weight = {d: sum(n * float(np.float32(math.log((target[b] + s) / (raw[b] * scale + s)))) for b, n in c.items()) for d, c in counts.items()}
+    good, bad = [weight[d] for d in fine if not fits[d]], [weight[d] for d, _, _ in marks if d not in fine and not fits[d]]
+    values = sorted({*good, *bad})
+    cuts = [values[0] - 1, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 1]
+    cut = min(cuts, key=lambda c: (round(quality.CARE * sum(g < c for g in good) / len(good) + sum(b >= c for b in bad) / len(bad), 9), c))
+    noise = {r.doc_id: r.z for r in df.select("doc_id", (-F.log(-F.log(common.uniform(quality.SEED, "doc_id", "text")))).alias("z")).collect()}
+    keys = {d: weight[d] + noise[d] for d in weight}
+    k = sum(w >= cut for w in weight.values())
+    want = set(sorted(keys, key=lambda d: -keys[d])[:k])
+    assert {r.doc_id for r in quality.select(df, known).collect()} == want and 20 < len(want) < 220
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(13)
+    column = pa.array([prose(rng, 200), "x" * 5000 + " y", None, "", "é" * 700, prose(rng, 3)], pa.string())
+    whole, rows = textvec.tokens(column), textvec.hash_rows(column)
+    for piece in (64, 100, 4096):
+        monkeypatch.setattr(textvec, "PIECE", piece)
+        cut = textvec.tokens(column)
+        assert (cut.hash == whole.hash).all() and (cut.start == whole.start).all() and (cut.rows == whole.rows).all()
+        assert (textvec.hash_rows(column) == rows).all()
