@@ -61,23 +61,22 @@ class BlockQueue:
     """
 
     def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.done = scratch, [[]], -1
+        self.scratch, self.levels = scratch, [[]]
 
     def push(self, key: np.ndarray, place: np.ndarray, shared: np.ndarray) -> None:
         """Keys come sorted, and in the order of arrival where they are equal; none may be less than one already popped."""
-        self.levels[0].append((key, place, shared))
+        self.levels[0].append([key, place, shared, 0])  # the last is how many have been popped
         level = 0
         while len(self.levels[level]) >= _FAN:
             runs = self.levels[level]
             self.levels[level] = []
             parts = [[], [], []]
             for run in runs:
-                at = np.searchsorted(run[0], self.done, side="right")
                 for part, column in zip(parts, run):
-                    part.append(column[at:])
+                    part.append(column[run[3] :])
             key = np.concatenate(parts[0])
             order = np.argsort(key, kind="stable")
-            merged = tuple(self.scratch.keep(np.concatenate(part)[order]) for part in parts)
+            merged = [*(self.scratch.keep(np.concatenate(part)[order]) for part in parts), 0]
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(merged)
@@ -85,12 +84,12 @@ class BlockQueue:
 
     def pop(self, key: int) -> tuple[np.ndarray, np.ndarray]:
         """All of one key, in the order of arrival."""
-        self.done = key
         places, shared = [], []
         for runs in reversed(self.levels):
             for run in runs:
-                a, b = np.searchsorted(run[0], key), np.searchsorted(run[0], key, side="right")
-                if b > a:
+                a = run[3]
+                if a < len(run[0]) and run[0][a] == key:  # keys come rising, so smaller ones are gone
+                    b = run[3] = a + int(np.searchsorted(run[0][a:], run[0][a], side="right"))
                     places.append(run[1][a:b])
                     shared.append(run[2][a:b])
         if not places:
@@ -110,14 +109,12 @@ class _Shared:
         members by symbol, and in that order the length each shares with the one sent there before."""
         order = np.argsort(to, kind="stable")
         at, to = at[order], to[order]
-        table = [lcp]
-        while (2 << (len(table) - 1)) <= len(lcp):
-            half = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
         width = len(lcp)
-        flat = np.full((len(table), width), _FAR, dtype=np.int32)
-        for i, row in enumerate(table):
-            flat[i, : len(row)] = row
+        flat = np.empty((width.bit_length(), width), dtype=np.int32)  # least of 2 ** i in a row
+        flat[0] = lcp
+        for i in range(1, len(flat)):
+            half, n = 1 << (i - 1), width + 1 - (1 << i)
+            np.minimum(flat[i - 1, :n], flat[i - 1, half : half + n], out=flat[i, :n])
 
         def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """Least of lcp[a:b] for each pair; none is empty."""
@@ -134,7 +131,7 @@ class _Shared:
         out[lead] = np.minimum(out[lead], self.least[heads])
         out += 1
         out[lead] = np.where(self.sent[heads], out[lead], 0)
-        np.minimum(self.least, flat[-1].min() if len(table) == 1 else lcp.min(), out=self.least)
+        np.minimum(self.least, lcp.min(), out=self.least)
         tails = np.flatnonzero(np.append(lead[1:], True))
         rest = np.full(len(tails), _FAR, dtype=np.int32)
         more = at[tails] + 1 < width
@@ -196,7 +193,7 @@ def _induce(text: np.ndarray, symbols: int, seeds: np.ndarray, seed_lcp: np.ndar
             value = np.zeros(len(order), np.int32)
         to, origin = to[order], place[at[order]] - 1
         own = symbols - 1 - c if rising else c
-        split = np.searchsorted(to, own, side="right")
+        split = np.searchsorted(to, to.dtype.type(own), side="right")  # of one type, else numpy copies all of them
         if split < len(to):
             queue.push(to[split:], origin[split:], value[split:])
         return origin[:split], value[:split]
