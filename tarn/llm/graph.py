@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import join_small, staged
+from tarn.llm.common import BROADCAST_ROWS, join_small, staged
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -36,7 +36,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def contents(names: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+def contents(names: DataFrame, *more: str, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Members (id, node) and nodes (node, id, ``more``) from ``names`` (id, one, two, ``more``): a node is a content, told by
     two hashes, and has the columns of its smallest id; an id is a member of each content that it has.
 
@@ -45,7 +45,7 @@ def contents(names: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     """
     groups = names.groupBy("one", "two").agg(F.min(F.struct("id", *more)).alias("lead")).withColumn("node", F.monotonically_increasing_id())
     groups = staged(groups, "contents")
-    member = join_small(names.select("id", "one", "two").distinct(), groups.select("one", "two", "node"), ["one", "two"])
+    member = join_small(names.select("id", "one", "two").distinct(), groups.select("one", "two", "node"), ["one", "two"], limit=limit)
     return staged(member.select("id", "node"), "members"), groups.select("node", "lead.*")
 
 
@@ -57,11 +57,18 @@ def classes(member: DataFrame, pairs: DataFrame) -> DataFrame:
     staged.
     """
     size = member.groupBy("node").agg(F.count("*").alias("n"))
-    several = member.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    several = several.join(member, "id").select("a", F.col("node").alias("b")).where("a <> b")
-    component = components(pairs.select("a", "b").union(several)).withColumnRenamed("id", "node")
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
     far = both.join(size.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("far"))
+    return classes_of(member, pairs.select("a", "b"), far)
+
+
+def classes_of(member: DataFrame, edges: DataFrame, far: DataFrame) -> DataFrame:
+    """What ``classes`` gives, from ``edges`` (a, b) that connect the same nodes as the pairs, and from the members ``far``
+    (node, far) of all nodes that pair with each."""
+    size = member.groupBy("node").agg(F.count("*").alias("n"))
+    several = member.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    several = several.join(member, "id").select("a", F.col("node").alias("b")).where("a <> b")
+    component = components(edges.union(several)).withColumnRenamed("id", "node")
     of_node = size.join(far, "node", "left").join(component, "node", "left")
     of_node = staged(of_node.select("node", F.coalesce("component", "node").alias("component"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links")), "links")
     named = staged(join_small(member, of_node, "node").select("id", "component", "links"), "named")

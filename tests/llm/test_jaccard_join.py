@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import empty, odd, odd_rows, prose, word_sets
 
@@ -89,6 +92,46 @@ def test_hot_nodes_are_dealt_out_and_large_buckets_split(spark, monkeypatch, hot
     assert got <= want and len(got) >= jaccard.RECALL * len(want) > 30
 
 
+def test_a_large_group_of_near_copies_takes_bounded_rows():
+    """A bucket's rows follow its sets, not its pairs, which are all alike here, and its pairs take no memory."""
+    rng = np.random.default_rng(1)
+    n = 6000
+    sketch = np.repeat(rng.integers(0, 2**63, (1, jaccard.COORDINATES // 16), dtype=np.uint64), n, axis=0)
+    node = np.full(n, 77)
+    no = pa.array([b""] * n, pa.binary())
+    columns = [node, np.arange(n), np.arange(n), np.full(n, 300), jaccard.common.binary_rows(sketch.reshape(-1), np.full(n, sketch.shape[1])), no]
+    batch = pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["node", "doc_id", "whole", "size", "sketch", "more"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(jaccard._split(jaccard.THRESHOLD)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows < n and peak < 150e6
+    edges = list(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    assert all(a < b for a, b in edges) and len({b for _, b in edges} | {0}) == n
+
+
+def test_classes_of_a_large_group_count_every_link(spark, monkeypatch):
+    """Links and classes come from sums over squares; no table has a row a pair."""
+    monkeypatch.setattr(jaccard, "SIDE", 9)
+    rng = random.Random(8)
+    base, other = prose(rng, 100), prose(rng, 60)
+    docs = [(i, near(rng, base, 3)) for i in range(60)] + [(100 + i, near(rng, other, 9)) for i in range(30)]
+    docs += [(200 + i, docs[i][1]) for i in range(0, 60, 7)]
+    want = classes_by_hand([d for d, _ in docs], pairs_by_hand(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    staged, rows = jaccard.common.staged, {}
+
+    def counted(df, name):
+        df = staged(df, name)
+        rows[name] = df.count()
+        return df
+
+    monkeypatch.setattr(jaccard.common, "staged", counted)
+    found = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(df).collect()}
+    assert found == want
+    assert rows["candidates"] < 20 * len(docs) and rows["pairs"] < 12 * len(docs)
+
+
 def test_odd_documents(spark):
     docs = [(r[0], r[1]) for r in odd_rows() if r[0] != 0]
     df = odd(spark).where("doc_id IS NULL OR doc_id <> 0")
