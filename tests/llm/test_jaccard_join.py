@@ -151,6 +151,24 @@ def test_deduplication_keeps_one_of_each_group(spark):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_deduplication_of_a_large_group_writes_no_row_a_pair(spark, monkeypatch):
+    """The pipeline's second stage: one document of a group stays, and its tables follow the documents."""
+    rng = random.Random(12)
+    base = prose(rng, 80)
+    docs = [(i, near(rng, base, 1)) for i in range(150)] + [(1000, prose(rng, 80))]
+    staged, rows = jaccard.common.staged, {}
+
+    def counted(df, name):
+        df = staged(df, name)
+        rows[name] = df.count()
+        return df
+
+    monkeypatch.setattr(jaccard.common, "staged", counted)
+    kept = jaccard.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1000]
+    assert "keyed" not in rows and rows["pairs"] < 2 * len(docs)
+
+
 def test_empty(spark):
     assert jaccard.classes(empty(spark)).count() == 0 and jaccard.deduplicate(empty(spark)).count() == 0
 
