@@ -139,28 +139,37 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([wire_row(r["block"], r["block"], r["bucket"], pack(every[at]), pack(good[at]), pack(rank[at]))], WIRE_ARROW)
 
 
-def _bigrams(buckets: int):
-    """A block's rows and the totals of its words to rows of the block (ids, counts and places of words; numbers and totals of
-    its distinct words) and rows of distinct bigrams for the buckets.
+def _opened_block(rows: pa.Table, buckets: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a block's rows and the totals of its words: the row of ids, counts and places of words; which texts are good; numbers
+    and totals of its distinct words. None if there is no block.
 
     A word's number is a function of its bucket and its rank there; 1 is the unknown word, 0 stands for both ends of a text.
     """
+    if not rows.num_rows or rows["key"][0].as_py() < 0:
+        return None
+    held = {r["bucket"]: r for r in rows.to_pylist()}
+    own = _codes_in(held[-2]["a"])
+    number, sums = np.ones(len(own), dtype=np.int64), np.zeros((2, len(own)), dtype=np.int64)
+    by, cuts = _by_bucket(own, buckets)
+    for k, r in held.items():
+        if k >= 0:
+            of, rank = by[cuts[k] : cuts[k + 1]], unpack(r["c"]).astype(np.int64)
+            sums[0, of], sums[1, of] = unpack(r["a"]), unpack(r["b"])
+            number[of] = np.where(rank > 0, (rank - 1) * buckets + k + 2, 1)
+    return held[-1], unpack(held[-2]["b"]).astype(bool), number, sums
 
-    def one(block: pa.Table, totals: pa.Table) -> pa.Table:
-        rows = {r["bucket"]: r for r in block.to_pylist()}
-        if not rows:
+
+def _bigrams(buckets: int):
+    """A block's rows and the totals of its words to rows of distinct bigrams for the buckets. The block's own rows are not among
+    them: the scores read them where they came from, so that they are moved once."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        block = _opened_block(rows, buckets)
+        if block is None:
             return WIRE_ARROW.empty_table()
-        text, own = rows[-1], _codes_in(rows[-2]["a"])
-        number, sums = np.ones(len(own), dtype=np.int64), np.zeros((2, len(own)), dtype=np.int64)
-        by, cuts = _by_bucket(own, buckets)
-        for k, a, b, c in zip(*[totals[name].to_pylist() for name in ("bucket", "a", "b", "c")]):
-            of, rank = by[cuts[k] : cuts[k + 1]], unpack(c).astype(np.int64)
-            sums[0, of], sums[1, of] = unpack(a), unpack(b)
-            number[of] = np.where(rank > 0, (rank - 1) * buckets + k + 2, 1)
+        text, good, number, _ = block
         codes, at = _pairs(number[unpack(text["c"])], unpack(text["b"]).astype(np.int64))
-        of_block = [wire_row(text["key"], text["block"], -1, text["a"], text["b"], text["c"]), wire_row(text["key"], text["block"], -2, pack(number), pack(sums[0]), pack(sums[1]))]
-        good = unpack(rows[-2]["b"]).astype(bool)[at]
-        return pa.Table.from_pylist(of_block + _bucket_rows(text["block"], *_tally(codes, good), buckets), WIRE_ARROW)
+        return pa.Table.from_pylist(_bucket_rows(text["block"], *_tally(codes, good[at]), buckets), WIRE_ARROW)
 
     return one
 
@@ -197,12 +206,11 @@ def _score(known: np.ndarray, ends: np.ndarray, buckets: int):
     unknown, whole = known[3:5] - known[1:3], known[3:5] + ends
 
     def score(blocks: pa.Table, totals: pa.Table) -> pa.Table:
-        if not blocks.num_rows or blocks["key"][0].as_py() < 0:
+        block = _opened_block(blocks, buckets)
+        if block is None:
             return _OUT.empty_table()
-        rows = {r["bucket"]: r for r in blocks.to_pylist()}
-        text, vocabulary = rows[-1], rows[-2]
+        text, _, number, of_word = block
         ids, counts = np.frombuffer(text["a"], dtype="<i8"), unpack(text["b"]).astype(np.int64)
-        number = unpack(vocabulary["a"]).astype(np.int64)
         codes, at = _pairs(number[unpack(text["c"])], counts)
         own, inverse = np.unique(codes, return_inverse=True)
         by, cuts = _by_bucket(own, buckets)
@@ -214,8 +222,8 @@ def _score(known: np.ndarray, ends: np.ndarray, buckets: int):
         v, w = (np.searchsorted(words, half.astype(np.int64)) for half in (own >> np.uint64(32), own & np.uint64(0xFFFF_FFFF)))
         losses = [np.full(len(ids), np.nan), np.full(len(ids), np.nan)]
         some = np.flatnonzero(counts)
-        for loss, i, column in ((losses[0], 1, "c"), (losses[1], 0, "b")):
-            alone = np.concatenate([[ends[i], unknown[i]], unpack(vocabulary[column]).astype(np.int64)])[first]
+        for loss, i in ((losses[0], 1), (losses[1], 0)):
+            alone = np.concatenate([[ends[i], unknown[i]], of_word[i]])[first]
             seen = alone[v] > 0
             weight = np.where(seen, LAMBDA, 0.0)
             p = weight * sums[i] / np.where(seen, alone[v], 1) + (1 - weight) * (alone[w] + ALPHA) / (whole[i] + ALPHA * size)
@@ -249,10 +257,11 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     for row in words.where("bucket = -3").select("a").collect():  # a row a bucket
         known += np.frombuffer(row.a, dtype="<i8")
 
-    of_block, told = (df.where("key >= 0").repartition(partitions, "key").groupBy("key") for df in (blocks, words))
-    wire = of_block.cogroup(told).applyInArrow(_bigrams(buckets), WIRE).repartition(partitions, "key")
+    # blocks and their words' totals are moved once, and read for the bigrams and again for the scores
+    held = blocks.where("key >= 0").unionAll(words.where("key >= 0")).repartition(partitions, "key")
+    wire = held.groupBy("key").applyInArrow(_bigrams(buckets), WIRE).repartition(partitions, "key")
     sums = wire.sortWithinPartitions("key").mapInArrow(common.trimmed(_sum_bigrams), WIRE).repartition(partitions, "key")
-    scored = wire.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(known, np.array([some.n, some.t]), buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
+    scored = held.groupBy("key").cogroup(sums.groupBy("key")).applyInArrow(_score(known, np.array([some.n, some.t]), buckets), "row_id long, n_tokens long, target_loss double, background_loss double")
     return scored.select(
         F.when(F.col("row_id") != missing, F.col("row_id")).alias("doc_id"),
         "n_tokens",

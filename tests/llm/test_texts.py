@@ -97,6 +97,26 @@ def test_vocabulary_does_not_shrink_as_the_corpus_grows(spark):
     assert got[1].background_loss != got[3].background_loss
 
 
+def moved(spark):
+    """Bytes that each stage has written to shuffles, by the stage's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_a_text_is_moved_once_for_its_scores(spark):
+    """A block's places of words, and the totals of its words, are not sent on with its bigrams."""
+    rng = random.Random(21)
+    rows = [(d, " ".join(f"w{int(rng.paretovariate(0.6)) % 20_000}" for _ in range(400))) for d in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    good = spark.createDataFrame([(d,) for d in range(0, 2000, 9)], "doc_id long")
+    before = moved(spark)
+    assert lm.score(docs, good).agg(F.count("score")).first()[0] == 2000
+    after = moved(spark)
+    assert sum(after[k] for k in after.keys() - before.keys()) < 0.6 * sum(len(t) for _, t in rows)
+
+
 def test_target_of(spark):
     assert {r.doc_id for r in lm.target_of(labels(spark)).collect()} == {0, 1, 10, 999}
 
