@@ -273,7 +273,7 @@ def _split(threshold: float):
         return pa.record_batch([nothing, nothing, pa.array(child.view(np.int64)), *[rows.column(i) for i in range(1, rows.num_columns)]], ["a", "b", *rows.schema.names])
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
+        if not any(h.num_rows for h in held):  # nothing comes before a node that is dealt out
             return
         t = pa.Table.from_batches(held).combine_chunks()
         node, ids = t["node"].to_numpy(), t["doc_id"].to_numpy()

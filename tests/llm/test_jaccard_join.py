@@ -92,6 +92,22 @@ def test_hot_nodes_are_dealt_out_and_large_buckets_split(spark, monkeypatch, hot
     assert got <= want and len(got) >= jaccard.RECALL * len(want) > 30
 
 
+@pytest.mark.parametrize("n, before", [(300, 0), (300, 3)])
+def test_a_hot_node_may_come_first(monkeypatch, n, before):
+    """A node of more sets than a task holds is dealt out to its children, whether or not rows of other nodes come before it."""
+    monkeypatch.setattr(jaccard, "HOT", 40)
+    rng = np.random.default_rng(2)
+    node, child = np.array([5] * before + [77] * n), rng.integers(100, 110, before + n)
+    sketch = rng.integers(0, 2**63, (before + n, jaccard.COORDINATES // 16), dtype=np.uint64)
+    links = np.stack([node, child], axis=1).astype(np.uint64)
+    columns = [pa.array(node), pa.array(np.arange(before + n)), pa.array(np.arange(before + n)), pa.array(np.full(before + n, 300))]
+    columns += [jaccard.common.binary_rows(x.reshape(-1), np.full(before + n, x.shape[1])) for x in (sketch, links)]
+    batch = pa.record_batch(columns, ["node", "doc_id", "whole", "size", "sketch", "more"])
+    out = pa.Table.from_batches(jaccard._split(jaccard.THRESHOLD)(iter([batch.slice(a, 50) for a in range(0, before + n, 50)])))
+    dealt = [(r["node"], r["doc_id"]) for r in out.to_pylist() if r["a"] is None]
+    assert sorted(dealt) == sorted(zip(child[before:].tolist(), range(before, before + n)))
+
+
 def test_a_large_group_of_near_copies_takes_bounded_rows():
     """A bucket's rows follow its sets, not its pairs, which are all alike here, and its pairs take no memory."""
     rng = np.random.default_rng(1)
