@@ -17,6 +17,8 @@ EXCERPT = 280
 #: Ideographs and other token characters, for Java's regular expressions.
 IDEOGRAPHS = "".join("\\x{%s}-\\x{%s}" % tuple(b.split("-")) for b in _BLOCKS)
 _RUN = rf"[{IDEOGRAPHS}]+|[\p{{IsAlphabetic}}\p{{N}}&&[^{IDEOGRAPHS}]]+"
+#: Runs of texts without ideographs, which all lie from here on.
+_PLAIN_RUN, _FROM_IDEOGRAPHS = r"[\p{IsAlphabetic}\p{N}]+", r"[\x{3400}-\x{10FFFF}]"
 _NO_TOKEN = rf"[^\p{{IsAlphabetic}}\p{{N}}{IDEOGRAPHS}]+"
 
 _PY_IDEOGRAPHS = "".join("\\U%s-\\U%s" % tuple(x.rjust(8, "0") for x in b.split("-")) for b in _BLOCKS)
@@ -28,14 +30,16 @@ def _text(x: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Tokens in order; none for null."""
-    runs = F.regexp_extract_all(_text(text), F.lit(_RUN), F.lit(0))
+    """Tokens in order; none for null. Texts that can hold no ideograph take a shorter way to the same tokens."""
+    text = _text(text)
+    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(_PLAIN_RUN), F.lit(0)), lambda run: F.lower(run))
 
     def tokens(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^[{IDEOGRAPHS}]{{3,}}$"), pairs).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(runs, tokens))
+    return F.when(text.rlike(_FROM_IDEOGRAPHS), F.flatten(F.transform(runs, tokens))).otherwise(plain)
 
 
 def token_count(text: Column) -> Column:

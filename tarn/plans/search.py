@@ -130,9 +130,17 @@ class Index:
         return rank.by_document(rank.vector_scores(embedded, self._restricted("vectors", allowed), 2 * options.limit), options.limit)
 
     def lexical_list(self, queries: DataFrame, options: SearchOptions, allowed: DataFrame | None) -> DataFrame:
-        scored = rank.bm25(rank.query_terms(queries), self._restricted("postings", allowed), self.tables["term_stats"], self.n_chunks, self.average)
-        scored = scored.withColumn("score", F.round("score", 12))  # as for vectors: the order of a sum decides no tie
-        return rank.by_document(rank.best_per_query(scored, 2 * options.limit, "chunk_id"), options.limit)
+        terms = rank.query_terms(queries)
+        words = rank.vocabulary(terms)
+        places = self.spark.createDataFrame(list(enumerate(words)), "place int, word string")
+        wanted = lambda table: table.join(rank.small(places, len(words)), F.col("term") == F.col("word"))
+        df = dict(wanted(self.tables["term_stats"]).select("place", "df").collect())  # a row a term of the queries
+        # all of a chunk's terms come to one task, as a few numbers each
+        posted = wanted(self._restricted("postings", allowed)).select("chunk_id", F.col("place").alias("term"), "tf", "chunk_len")
+        counts = posted.repartition("chunk_id").sortWithinPartitions("chunk_id", "term")
+        best = rank.bm25_best(terms, counts, words, df, self.n_chunks, self.average, 2 * options.limit, 12)
+        scored = self.tables["chunks"].select("chunk_id", "doc_id").join(rank.small(best, queries.count() * 2 * options.limit), "chunk_id")
+        return rank.by_document(scored, options.limit)
 
     def search_many(self, queries: DataFrame, options: SearchOptions | None = None, **given: Any) -> DataFrame:
         """Hits (query_id, rank, score, doc_id, ..., best_match) of each query of ``queries`` (query_id, query).
