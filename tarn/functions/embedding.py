@@ -49,33 +49,35 @@ def backend_of(description: dict) -> Backend:
     return Hashing(**rest) if description["kind"] == "hashing" else StaticModel(**rest)
 
 
-_known: dict[str, dict[str, tuple[int, int]]] = {}
+_known: dict[str, dict[str, int]] = {}
 
 
-def _buckets(words: list[str], digest: str) -> dict[str, tuple[int, int]]:
+def _places(words: set[str], digest: str) -> dict[str, int]:
+    """For each word twice its bucket's number, plus 1 if its sign is minus."""
     known = _known.setdefault(digest, {})
-    new = [w for w in words if w not in known]
+    new = list(words - known.keys())
     if len(known) + len(new) > _KEPT:
         known.clear()
-        new = words
+        new = list(words)
     if new:
         if digest == "blake3":
             heads = blake3.digests([w.encode() for w in new])[:, :2].tolist()
         else:
             heads = [hashlib.sha256(w.encode()).digest()[:2] for w in new]
-        known.update((w, (h[0], 1 if h[1] % 2 == 0 else -1)) for w, h in zip(new, heads))
+        known.update((w, 2 * h[0] + h[1] % 2) for w, h in zip(new, heads))
     return known
 
 
 def hashed(texts: list[str | None], dimensions: int, digest: str = "blake3") -> np.ndarray:
     """(n, dimensions): unit vectors; zero for texts without words."""
     split = [(t or "").split() for t in texts]
-    known = _buckets(list({w for words in split for w in words}), digest)
+    known = _places(set().union(*split), digest)
     out = np.zeros((len(texts), dimensions))
+    to = np.arange(256) % dimensions
     for row, words in enumerate(split):
         if words:
-            bucket, sign = zip(*(known[w] for w in words))
-            out[row] = np.bincount(np.array(bucket) % dimensions, weights=sign, minlength=dimensions)
+            n = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=512)
+            out[row] = np.bincount(to, weights=n[::2] - n[1::2], minlength=dimensions)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 

@@ -6,6 +6,8 @@ of one or two ideographs is a token itself.
 
 from __future__ import annotations
 
+import re
+
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ _PLAIN_RUN, _FROM_IDEOGRAPHS = r"[\p{IsAlphabetic}\p{N}]+", r"[\x{3400}-\x{10FFF
 _NO_TOKEN = rf"[^\p{{IsAlphabetic}}\p{{N}}{IDEOGRAPHS}]+"
 
 _PY_IDEOGRAPHS = "".join("\\U%s-\\U%s" % tuple(x.rjust(8, "0") for x in b.split("-")) for b in _BLOCKS)
+_PY_PLAIN_RUN, _PY_FROM_IDEOGRAPHS = regex.compile(r"(?V1)[\p{Alphabetic}\p{N}]+"), re.compile("[\u3400-\U0010ffff]")
 _PY_RUN = regex.compile(rf"(?V1)([{_PY_IDEOGRAPHS}]+)|[[\p{{Alphabetic}}\p{{N}}]--[{_PY_IDEOGRAPHS}]]+")
 
 
@@ -126,6 +129,8 @@ def py_tokens(text: str) -> list[str]:
 
 
 def py_token_count(text: str) -> int:
+    if not _PY_FROM_IDEOGRAPHS.search(text):
+        return max(1, len(_PY_PLAIN_RUN.findall(text)))
     n = 0
     for m in _PY_RUN.finditer(text):
         n += 1 if m.group(1) is None else max(1, len(m.group()) - 1)
